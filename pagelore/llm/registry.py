@@ -9,7 +9,9 @@ from pagelore.runtime import ship
 
 #: query -> module; a module's SQL, if it has one, is the query's oracle.
 MODULES = {
+    "op2_line_dedup": "line_dedup",
     "op4_mix_sources": "mixing",
+    "op5_simhash_dedup": "simhash",
     "op8_exact_dedup": "exact_dedup",
 }
 
