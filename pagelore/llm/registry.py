@@ -12,6 +12,7 @@ MODULES = {
     "op2_line_dedup": "line_dedup",
     "op4_mix_sources": "mixing",
     "op5_simhash_dedup": "simhash",
+    "op7_bpe_round_trip": "bpe",
     "op8_exact_dedup": "exact_dedup",
 }
 
