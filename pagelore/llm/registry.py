@@ -9,11 +9,13 @@ from pagelore.runtime import ship
 
 #: query -> module; a module's SQL, if it has one, is the query's oracle.
 MODULES = {
+    "op1_toxicity": "toxicity",
     "op2_line_dedup": "line_dedup",
     "op4_mix_sources": "mixing",
     "op5_simhash_dedup": "simhash",
     "op7_bpe_round_trip": "bpe",
     "op8_exact_dedup": "exact_dedup",
+    "op10_language_id": "language_id",
 }
 
 
