@@ -13,8 +13,10 @@ MODULES = {
     "op2_line_dedup": "line_dedup",
     "op4_mix_sources": "mixing",
     "op5_simhash_dedup": "simhash",
+    "op6_token_counts": "token_counts",
     "op7_bpe_round_trip": "bpe",
     "op8_exact_dedup": "exact_dedup",
+    "op9_nearest_neighbours": "nearest",
     "op10_language_id": "language_id",
 }
 
