@@ -199,10 +199,12 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", te
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], "_n_lines", "_n_dropped", "_kept")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 1.0, **rule) -> DataFrame:
     """docs with their texts rewritten by ``keep_bitmaps``; the same columns, a null text stays null.
-    No row is dropped: a document whose lines all go has the empty text."""
-    out = with_bitmaps(docs.withColumn("_was_null", F.col(text_col).isNull()), keep_bitmaps(docs, id_col, text_col, **rule), id_col, text_col)
+    No row is dropped: a document whose lines all go has the empty text. A document that would lose
+    more than the share ``most`` of its lines is left as it is: it is a copy, for a later step to judge whole."""
+    bitmaps = keep_bitmaps(docs, id_col, text_col, **rule).where(F.col("n_dropped") <= most * F.col("n_lines"))
+    out = with_bitmaps(docs.withColumn("_was_null", F.col(text_col).isNull()), bitmaps, id_col, text_col)
     return out.withColumn(text_col, F.when(F.col("_was_null"), None).otherwise(F.col("_kept"))).select(*docs.columns)
 
 

@@ -43,24 +43,23 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return s.select("source", "source_size", F.least(cap * F.col("source_size").cast("double"), F.col("_w") * F.col("_level")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """One row per input row: id, size, source_size, target, copies, taken (= copies x size).
+def _names(df: DataFrame) -> DataFrame:
+    """source as two columns that join nulls as equal."""
+    return df.withColumn("_null", F.col("source").isNull()).withColumn("_src", F.coalesce("source", F.lit(""))).drop("source")
 
-    A source whose target is k whole passes and a rest takes every document k times; the rest goes
-    to the documents of least hash: those up to the threshold whose running sum is nearest to it.
-    The hash is of the id (md5, first 15 digits), so reruns agree and rows with one id go together.
-    Null text has size 0; null is a source of its own, as is the empty name; a null id hashes as ''.
-    Copies never exceed ``cap``. An empty table gives an empty result.
-    """
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("_h")), "sized")
+
+def _hash(id_col: str):
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def mixing_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """rows (source, size, _h), stored -> one row per source: source_size, target, the number of whole
+    passes, the rest, and the hash up to which documents are taken once more (null: all, if there is a rest)."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, weights, share, cap), "targets")
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("bigint")
     targets = targets.withColumn("_k", passes).withColumn("_rest", F.col("target") - F.col("_k") * F.col("source_size"))
-    names = lambda df: df.withColumn("_null", F.col("source").isNull()).withColumn("_src", F.coalesce("source", F.lit(""))).drop("source")  # noqa: E731  nulls join as equal
-
-    rows, open_ = names(rows), names(targets.where("_rest > 0")).select("_null", "_src", "_rest", F.lit(0).cast("bigint").alias("_low"), F.lit(0).cast("bigint").alias("_before"))
+    rows, open_ = _names(rows), _names(targets.where("_rest > 0")).select("_null", "_src", "_rest", F.lit(0).cast("bigint").alias("_low"), F.lit(0).cast("bigint").alias("_before"))
     # Each step: in the open bucket of each source, the sub-bucket in which the budget ends.
     for shift in (HASH_BITS - STEP_BITS, HASH_BITS - 2 * STEP_BITS, 0):
         width = F.lit(1 << shift).cast("bigint")
@@ -75,10 +74,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             end = run.groupBy("_null", "_src").agg(F.first("_low").alias("_low"), F.max(F.when(2 * F.col("_upto") - F.col("_s") <= 2 * F.col("_rest"), F.col("_b"))).alias("_last"))
             cuts = stored(end.select("_null", "_src", F.coalesce("_last", F.col("_low") - 1).alias("_cut")), "cuts")
         above = shift
-    plan = stored(names(targets).join(cuts, ["_null", "_src"], "left"), "plan")
-    out = rows.join(sized(plan), ["_null", "_src"])
+    return stored(_names(targets).join(cuts, ["_null", "_src"], "left"), "plan")
+
+
+def _take(rows: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
+    """rows (_null, _src, _h, ...) + the plan of their source and copies."""
     copies = F.least(F.lit(cap).cast("bigint"), F.col("_k") + F.when((F.col("_rest") > 0) & (F.col("_cut").isNull() | (F.col("_h") <= F.col("_cut"))), 1).otherwise(0))
-    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return rows.join(sized(plan), ["_null", "_src"]).withColumn("copies", copies)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """One row per input row: id, size, source_size, target, copies, taken (= copies x size).
+
+    A source whose target is k whole passes and a rest takes every document k times; the rest goes
+    to the documents of least hash: those up to the threshold whose running sum is nearest to it.
+    The hash is of the id (md5, first 15 digits), so reruns agree and rows with one id go together.
+    Null text has size 0; null is a source of its own, as is the empty name; a null id hashes as ''.
+    Copies never exceed ``cap``. An empty table gives an empty result.
+    """
+    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col).alias("_h")), "sized")
+    out = _take(_names(rows), mixing_plan(rows, weights, share, cap), cap)
+    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """The mix itself: docs with each row as often as ``mix`` says, the columns as they are. Texts
+    stay where they are: only the plan, a row per source, is joined to them."""
+    rows = stored(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col).alias("_h")), "sized")
+    all_ = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("source"), _hash(id_col).alias("_h"))
+    out = _take(_names(all_), mixing_plan(rows, weights, share, cap), cap)
+    return out.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op4_mix_sources(spark, sf_dir):

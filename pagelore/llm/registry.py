@@ -11,6 +11,7 @@ from pagelore.runtime import ship
 MODULES = {
     "op1_toxicity": "toxicity",
     "op2_line_dedup": "line_dedup",
+    "op3_chat_format": "chat",
     "op4_mix_sources": "mixing",
     "op5_simhash_dedup": "simhash",
     "op6_token_counts": "token_counts",

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import sized
 from pagelore.llm.components import components
 from pagelore.runtime import stored, table
 
@@ -190,6 +191,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, "fp").select("id", "fp", "component")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
+    """docs without near duplicates: of each class the row with the smallest id stays. Rows of one id
+    stay or go together; rows of the null id stay if no other id is in their class. Only ids are joined."""
+    classes = near_duplicates(docs, id_col, text_col, **rule)
+    gone = stored(classes.where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct(), "gone")
+    return docs.join(sized(gone), F.col(id_col).cast("bigint").eqNullSafe(gone["id"]), "left_anti")
+
+
 def op5_simhash_dedup(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
