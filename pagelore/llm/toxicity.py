@@ -26,7 +26,7 @@ from pagelore.runtime import stored, table
 BITS, SIZES, DIM, WINDOW = 18, range(3, 6), 8, 64
 #: The classifier is fitted on at most this many labelled documents of each class, in hash order.
 SAMPLE_ROWS = 2000
-TRAIN = {"prior": 0.5, "epochs": 5, "rate": 0.2, "l2": 1e-5, "batch": 16, "min_docs": 8, "seed": 11}
+TRAIN = {"prior": 0.2, "epochs": 5, "rate": 0.2, "l2": 1e-5, "batch": 16, "min_docs": 8, "seed": 11}
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +63,7 @@ class Model:
     """Two-class model. Without training data every text scores 0."""
 
     def __init__(self, embed=None, layer=None, bias=None, window: int = WINDOW):
-        self.window, self.margin, self.words = window, None, None
+        self.window, self.margin, self.words, self.scale, self.shift = window, None, None, 1.0, 0.0
         if embed is not None:
             self.margin, self.bias = embed @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
@@ -91,23 +91,40 @@ class Model:
                 best = 0.0
                 if n:
                     best = max(float(m.max()) for *_, m in passage_sums(ids[at : at + n], s[at : at + n], self.window))
-                out.append(float(1 / (1 + np.exp(-(best + self.bias)))))
+                out.append(best + self.bias)
                 at += n
-        return out
+        return (1 / (1 + np.exp(-np.clip(self.scale * np.array(out) + self.shift, -50, 50)))).tolist()
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float = 0.5, window: int = WINDOW, epochs: int = 5, rate: float = 0.2, l2: float = 1e-5, batch: int = 16, min_docs: int = 8, seed: int = 11) -> Model:
-    """Fits embeddings and layer by Adagrad. prior: the share of the toxic class at which a score of
-    0.5 is even odds; the bias is moved from the sample's share to it. Buckets of fewer than min_docs
-    sample documents keep the zero vector."""
+def calibrate(model: Model, texts: list[str], labels: np.ndarray, prior: float) -> None:
+    """Logistic scale and shift of the model's margin on documents that it was not fitted on, weighted
+    so that the toxic class has the share ``prior``; a ridge keeps both finite if the classes part."""
+    if not len(labels) or labels.min() == labels.max():
+        return
+    p = np.clip(np.array(model.scores(texts)), 1e-12, 1 - 1e-12)
+    x = np.c_[np.log(p / (1 - p)), np.ones(len(p))]
+    w = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
+    at, start, ridge = np.array([1.0, 0.0]), np.array([1.0, 0.0]), np.diag([0.5, 0.05])
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(x @ at, -50, 50)))
+        step = np.linalg.solve((x * (w * q * (1 - q))[:, None]).T @ x + ridge, x.T @ (w * (q - labels)) + ridge @ (at - start))
+        at = at - np.clip(step, -1, 1)
+        at[0] = max(at[0], 0.05)
+    model.scale, model.shift = float(at[0]), float(at[1])
+
+
+def train(texts: list[str], labels: np.ndarray, prior: float = 0.2, window: int = WINDOW, epochs: int = 5, rate: float = 0.2, l2: float = 1e-5, batch: int = 16, min_docs: int = 8, seed: int = 11) -> Model:
+    """Fits embeddings and layer by Adagrad on four fifths of the documents; the others calibrate the
+    scores for a toxic share of ``prior``. Buckets of fewer than min_docs documents keep the zero vector."""
     if not len(labels) or labels.min() == labels.max():
         return Model()
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (1 << BITS, DIM))
     layer, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     ge, gl, gb = np.full(1 << BITS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    held = np.arange(len(labels)) % 5 == 4
     docs = [words_of(t) for t in texts]
-    keep = [i for i, w in enumerate(docs) if w]
+    keep = [i for i, w in enumerate(docs) if w and not held[i]]
     # Buckets of few documents would be learned by heart: they keep the zero vector.
     df = np.zeros(1 << BITS, np.int64)
     for i in keep:
@@ -155,10 +172,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float = 0.5, window: int
             embed[cells] -= rate * g / np.sqrt(ge[cells])[:, None]
             layer -= 0.2 * dl / np.sqrt(gl)
             bias -= 0.1 * db / np.sqrt(gb)
-    share = float(np.mean(labels))
-    prior = min(max(prior, 1e-3), 1 - 1e-3)
-    bias[1] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
-    return Model(embed, layer, bias, window)
+    model = Model(embed, layer, bias, window)
+    calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], labels[held], prior)
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, **setup) -> Model:
