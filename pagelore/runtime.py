@@ -46,9 +46,16 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches are cut at this size, so that a worker holds few long texts at a time.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per context, as a zip that Spark serves to them."""
+    """Give executors this package, once per context, as a zip that Spark serves to them; lower the size
+    of Arrow batches unless the session sets one."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_BYTES[0], BATCH_BYTES[1]) == BATCH_BYTES[1]:
+        spark.conf.set(BATCH_BYTES[0], BATCH_BYTES[2])
     if getattr(sc, "_pagelore_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="pagelore-zip-")
