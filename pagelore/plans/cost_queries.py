@@ -63,8 +63,8 @@ POP = TRACE + ", pop AS (SELECT page_id, count(*) AS refs FROM t GROUP BY page_i
 def _solver(name, term, cap):
     sql = POP.replace("WITH ", "WITH RECURSIVE ", 1) + f""", b(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1e9::DOUBLE UNION ALL
   SELECT b.i + 1, CASE WHEN s.v < {cap} THEN (b.lo + b.hi) / 2 ELSE b.lo END, CASE WHEN s.v < {cap} THEN b.hi ELSE (b.lo + b.hi) / 2 END
-  FROM b, LATERAL (SELECT sum(n * {term.replace('x', '((b.lo + b.hi) / 2)')}) AS v FROM hist) s WHERE b.i < 90)
-SELECT round(time, 3) AS time, round((SELECT sum(n * q * {term.replace('x', 'time')}) FROM hist), 6) AS hit_ratio FROM (SELECT (lo + hi) / 2 AS time FROM b WHERE i = 90)"""
+  FROM b, LATERAL (SELECT sum(n * {term.replace('TT', '((b.lo + b.hi) / 2)')}) AS v FROM hist) s WHERE b.i < 90)
+SELECT round(time, 3) AS time, round((SELECT sum(n * q * {term.replace('TT', 'time')}) FROM hist), 6) AS hit_ratio FROM (SELECT (lo + hi) / 2 AS time FROM b WHERE i = 90)"""
 
     @query(sql, "events_keys event_probes", name=name)
     def run(spark, d):
@@ -73,8 +73,8 @@ SELECT round(time, 3) AS time, round((SELECT sum(n * q * {term.replace('x', 'tim
         return spark.createDataFrame([(round(t(p, cap), 3), round(h(p, cap), 6))], "time double, hit_ratio double")
 
 
-_solver("che_lru", "(1 - exp(-q * x))", 8)
-_solver("fifo_model", "(q * x / (1 - q + q * x))", 8)
+_solver("che_lru", "(1 - exp(-q * TT))", 8)
+_solver("fifo_model", "(q * TT / (1 - q + q * TT))", 8)
 
 
 @query(POP + " SELECT round(sum(refs) / (SELECT sum(refs) FROM pop), 6) AS hit_ratio FROM (SELECT refs FROM pop ORDER BY refs DESC LIMIT 8)", "events_keys event_probes")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pagelore.plans.base import ORACLES, QUERIES
 
-MODULES = ("access_queries", "cost_queries")
+MODULES = ("access_queries", "cost_queries", "model_queries")
 for _m in MODULES:
     import_module(f"pagelore.plans.{_m}")
 
