@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import trimmed
+from pagelore.llm.ngrams import Remembered
 from pagelore.runtime import table
 
 #: Fixed values of the public format: the pattern that splits text before merging.
@@ -28,8 +30,8 @@ UNICODE_16 = (
     (0x11380, 0x113FF), (0x116D0, 0x116FF), (0x11BC0, 0x11BFF), (0x13460, 0x143FF), (0x16100, 0x1613F), (0x16D40, 0x16D7F),
     (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
 )
-#: A worker remembers this many pieces, of at most this many characters, and token pairs; then it starts over.
-CACHE_PIECES, CACHED_CHARS, CACHE_PAIRS = 600_000, 64, 500_000
+#: A worker remembers up to twice this many pieces, of at most this many characters, and so many token pairs.
+CACHE_PIECES, CACHED_CHARS, CACHE_PAIRS = 100_000, 64, 150_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -69,8 +71,8 @@ class Bpe:
         self._tables()
         self.find = regex.compile(PATTERN).findall
         self.cut_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.known = Remembered(CACHE_PIECES)
+        self.fits: dict[int, bool] = {}
         self.size = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
         self.newer = regex.compile("[\u0558-\U0010ffff]").search
         self.stand_in: dict[int, str] | None = None
@@ -129,10 +131,10 @@ class Bpe:
             end = at + size[token]
             if ok[end]:
                 good = True
-                if out and (good := fits.get(pair := (out[-1], token))) is None:
+                if out and (good := fits.get(pair := out[-1] << 32 | token)) is None:
                     if len(fits) >= CACHE_PAIRS:
                         fits.clear()
-                    good = fits[pair] = compatible(*pair)
+                    good = fits[pair] = compatible(out[-1], token)
                 if good:
                     out.append(token)
                     at = end
@@ -149,11 +151,11 @@ class Bpe:
         return out
 
     def _piece(self, piece: str) -> bytes:
-        ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self.known) >= CACHE_PIECES:
-                self.known.clear()
-            self.known[piece] = ids
+        ids = self.known.recall(piece)
+        if ids is None:
+            ids = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+            if len(piece) <= CACHED_CHARS:
+                self.known.put(piece, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -165,8 +167,8 @@ class Bpe:
             if part in special:
                 out.append(special[part].to_bytes(4, "little"))
                 continue
-            get, piece = self.known.get, self._piece
-            out += [get(p) or piece(p) for p in self.pieces(part)]
+            known, piece = self.known, self._piece
+            out += [known.get(p) or piece(p) for p in self.pieces(part)]
         return b"".join(out)
 
     def pieces(self, text: str) -> list[str]:
@@ -225,10 +227,10 @@ def _with(docs: DataFrame, text_col: str, added: dict[str, str], each) -> DataFr
     def run(batches):
         for b in batches:
             rows = [each(t) for t in b.column(at).to_pylist()]
-            cols = [pa.array([r[k] for r in rows], {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for k, t in enumerate(added.values())]
+            cols = [pa.array([r[k] for r in rows], {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for k, t in enumerate(added.values())]
             yield pa.record_batch([*b.columns, *cols], schema=pa.schema([*b.schema, *[(f"_a{i}", c.type) for i, c in enumerate(cols)]]))
 
-    out = src.mapInArrow(run, schema)
+    out = src.mapInArrow(trimmed(run), schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], *[F.col(f"_a{i}").alias(c) for i, c in enumerate(added)])
 
 
@@ -248,6 +250,17 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     return _with(encoded, ids_col, {"decoded": "string"}, lambda ids: (load(path).decode(ids or b""),))
 
 
+def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """encode + round_trip: whether the ids decode to the text again. One worker does both."""
+
+    def each(t):
+        tok = load(path)
+        ids = tok.encode(t or "")
+        return ids, len(ids) // 4, tok.decode(ids) == (t or "")
+
+    return _with(docs, text_col, {"ids": "binary", "n_tokens": "bigint", "round_trip": "boolean"}, each)
+
+
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """encode and decode of each row, digested in the same pass: docs + n_tokens, ids_sha256, decoded_sha256."""
 

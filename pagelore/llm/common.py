@@ -25,3 +25,26 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a count proves that it is small, else left to a shuffled join.
     ``df`` should be stored: it is read for the count and again by the join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
+def trimmed(run):
+    """run, an Arrow mapping, whose worker gives memory that it no longer uses back when the task ends:
+    workers wait for their next task with what they hold."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library: it keeps its own counsel
+
+    return wrapped

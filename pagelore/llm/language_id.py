@@ -10,12 +10,14 @@ temperature. The model, a matrix of 2^BITS by languages, goes to the executors o
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import held_out
+from pagelore.llm.common import held_out, trimmed
 from pagelore.llm.ngrams import WordRows, in_groups, ngram_buckets, per_word_sums, words_of
 from pagelore.runtime import stored, table
 
@@ -40,7 +42,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], names=["bucket", "n"])
 
-    counts = texts.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2^BITS + 1 rows at most
+    counts = texts.mapInArrow(trimmed(run), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 2^BITS + 1 rows at most
     df = np.zeros(1 << BITS, np.int64)
     total = 0
     for r in counts:
@@ -54,7 +56,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 class BucketSets:
     """The buckets of a set of words, as indexes; buckets of known words are kept, up to a bound."""
 
-    def __init__(self, cap: int = 200_000):
+    def __init__(self, cap: int = 60_000):
         self.cap, self.known = cap, {}
 
     def of(self, words: set[str]) -> np.ndarray:
@@ -126,11 +128,7 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 class Model:
     def __init__(self, langs, table_, bias, temperature):
-        self.langs, self.table, self.bias, self.temperature = langs, table_, bias, temperature
-        self.words = None
-
-    def __getstate__(self):
-        return {"langs": self.langs, "table": self.table, "bias": self.bias, "temperature": self.temperature, "words": None}
+        self.uid, self.langs, self.table, self.bias, self.temperature = uuid.uuid4().hex, langs, table_, bias, temperature
 
     def _make(self, words):
         at, bucket = ngram_buckets(words, SIZES, BITS)
@@ -139,11 +137,10 @@ class Model:
     def predict(self, texts) -> list[tuple[str, float]]:
         if not self.langs:
             return [(UNDETERMINED, 0.0) for _ in texts]
-        if self.words is None:
-            self.words = WordRows(self._make, len(self.langs) + 1)
+        words = WordRows.of_model(self.uid, self._make, len(self.langs) + 1)
         out = []
         for sizes, flat in in_groups(texts):
-            rows, at = self.words.of(flat), 0
+            rows, at = words.of(flat), 0
             for n in sizes:
                 if n:
                     total = rows[at : at + n].sum(axis=0)
@@ -193,7 +190,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             got = m.predict(b.column(1).to_pylist())
             yield pa.record_batch([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id bigint, lang_pred string, score double")
 
 
 def op10_language_id(spark, sf_dir):

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import trimmed
 from pagelore.runtime import cut, table
 
 LINES = "h1 bigint, h2 bigint, doc bigint, th bigint, pos int, n_lines int"
@@ -145,7 +146,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bitmap, and rows of one id, or of the null id, count as one document. A null text is one empty
     line. Empty tables give no bitmaps.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(_lines(min_chars), LINES)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(trimmed(_lines(min_chars)), LINES)
     key = ["h1", "h2", "doc", "th", "pos"]
     rows = cut(rows.repartitionByRange(*key).sortWithinPartitions(*key))
     ends = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b"))
@@ -157,9 +158,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         keys = docs.sparkSession.createDataFrame([(*k,) for k in cut_by], "h1 bigint, h2 bigint")
         of = rows.withColumn("part", F.spark_partition_id()).join(F.broadcast(keys), ["h1", "h2"]).groupBy("h1", "h2", "doc").agg(F.min("part").alias("part"))
         border = {(r.h1, r.h2): (r.n, r.part) for r in of.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("part").alias("part")).collect()}
-    drops = rows.mapInArrow(_stream(min_docs, keep_first, border), "doc bigint, th bigint, pos int, n_lines int")
+    drops = rows.mapInArrow(trimmed(_stream(min_docs, keep_first, border)), "doc bigint, th bigint, pos int, n_lines int")
     per_doc = drops.groupBy("doc", "th").agg(F.first("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("pos"))
-    return per_doc.select("doc", "th", "n_lines", "pos").mapInArrow(_bitmaps, BITMAPS)
+    return per_doc.select("doc", "th", "n_lines", "pos").mapInArrow(trimmed(_bitmaps), BITMAPS)
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,12 +191,12 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", te
 
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(rest)], F.col(text_col).alias("_text"))
-    hashed = rows.mapInArrow(hashes, StructType([*rows.schema.fields, StructField("_th", LongType())]))
+    hashed = rows.mapInArrow(trimmed(hashes), StructType([*rows.schema.fields, StructField("_th", LongType())]))
     doc = F.col(f"_c{rest.index(id_col)}").cast("bigint")
     m = bitmaps.select(F.col("doc").alias("_doc"), F.col("th").alias("_bth"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_n_dropped"))
     joined = hashed.join(m.hint("shuffle_hash"), doc.eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_bth")), "left").drop("_doc", "_bth", "_th")
     schema = StructType([f for f in rows.schema.fields if f.name != "_text"]).add("_n_lines", LongType()).add("_n_dropped", LongType()).add("_kept", StringType())
-    out = joined.mapInArrow(rewrite, schema)
+    out = joined.mapInArrow(trimmed(rewrite), schema)
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], "_n_lines", "_n_dropped", "_kept")
 
 

@@ -50,7 +50,16 @@ class WordRows:
     """word -> number, with what ``make`` gives for the words in an array of one row each. Bounded:
     when a batch of texts would not fit, all is forgotten first."""
 
-    def __init__(self, make, width: int, cap: int = 400_000):
+    _held: tuple[str, WordRows] | None = None
+
+    @classmethod
+    def of_model(cls, uid: str, make, width: int) -> WordRows:
+        """The rows of a model, kept from task to task; a worker keeps those of one model only."""
+        if cls._held is None or cls._held[0] != uid:
+            cls._held = (uid, cls(make, width))
+        return cls._held[1]
+
+    def __init__(self, make, width: int, cap: int = 150_000):
         self.make, self.cap = make, cap
         self.rows, self.number = np.zeros((1024, width)), {}
 
@@ -90,3 +99,25 @@ def in_groups(texts, words: int = 100_000):
             sizes, flat = [], []
     if sizes:
         yield sizes, flat
+
+
+class Remembered:
+    """A bounded memory of computed values: two generations of ``cap`` entries; a full one becomes the
+    old one, so that what recurs stays."""
+
+    def __init__(self, cap: int):
+        self.cap, self.new, self.old = cap, {}, {}
+        self.get = self.new.get
+
+    def recall(self, key):
+        """The value of a key of the old generation, kept on in the new; None if there is none."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.cap:
+            self.old, self.new = self.new, {}
+            self.get = self.new.get
+        self.new[key] = value

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import sized
+from pagelore.llm.common import sized, trimmed
 from pagelore.llm.components import components
 from pagelore.runtime import stored, table
 
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fp, pa.int64())], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id bigint, fp bigint")
 
 
 def segments_for(radius: int) -> list[tuple[int, int]]:

@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import trimmed
+from pagelore.llm.ngrams import Remembered
 from pagelore.runtime import table
 
 MARK = "▁"
 #: Fixed values of the model format: piece types, and what an unknown piece scores below the least.
 NORMAL, USER_DEFINED, UNKNOWN_PENALTY = 1, 4, 10.0
 PLACEHOLDER = -1e8
-CACHE_CHUNKS, CACHED_CHARS = 600_000, 64
+CACHE_CHUNKS, CACHED_CHARS = 100_000, 64
 
 
 def _fields(raw: bytes):
@@ -89,7 +91,7 @@ class Unigram:
                 whole |= MARK in text.lstrip(MARK)
         self.ac.make_automaton()
         self.chunks = (lambda t: [t]) if whole else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: dict[str, int] = {}
+        self.known = Remembered(CACHE_CHUNKS)
 
     def count_chunk(self, text: str) -> int:
         n, unknown = len(text), self.unknown
@@ -117,19 +119,19 @@ class Unigram:
         return count[n]
 
     def _new(self, chunk: str) -> int:
-        n = self.count_chunk(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.known) >= CACHE_CHUNKS:
-                self.known.clear()
-            self.known[chunk] = n
+        n = self.known.recall(chunk)
+        if n is None:
+            n = self.count_chunk(chunk)
+            if len(chunk) <= CACHED_CHARS:
+                self.known.put(chunk, n)
         return n
 
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
-        get, new = self.known.get, self._new
-        return sum([get(c) or new(c) for c in self.chunks(text)])
+        known, new = self.known, self._new
+        return sum([known.get(c) or new(c) for c in self.chunks(text)])
 
 
 _LOADED: dict[str, Unigram] = {}
@@ -150,7 +152,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([model.count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n_tokens bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id bigint, n_tokens bigint")
 
 
 def default_path() -> str:

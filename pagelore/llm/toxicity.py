@@ -14,12 +14,14 @@ worker and looked up for each further occurrence.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import held_out
+from pagelore.llm.common import held_out, trimmed
 from pagelore.llm.ngrams import WordRows, in_groups, ngram_buckets, per_word_sums, words_of
 from pagelore.runtime import stored, table
 
@@ -63,13 +65,10 @@ class Model:
     """Two-class model. Without training data every text scores 0."""
 
     def __init__(self, embed=None, layer=None, bias=None, window: int = WINDOW):
-        self.window, self.margin, self.words, self.scale, self.shift = window, None, None, 1.0, 0.0
+        self.uid, self.window, self.margin, self.scale, self.shift = uuid.uuid4().hex, window, None, 1.0, 0.0
         if embed is not None:
             self.margin, self.bias = embed @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
-    def __getstate__(self):
-        return self.__dict__ | {"words": None}
-
     def _make(self, words):
         at, bucket = subwords(words)
         n = np.bincount(at, minlength=len(words))
@@ -80,12 +79,11 @@ class Model:
         model. A text without words has the probability that the bias alone gives."""
         if self.margin is None:
             return [0.0 for _ in texts]
-        if self.words is None:
-            self.words = WordRows(self._make, 1)
+        words = WordRows.of_model(self.uid, self._make, 1)
         out = []
         for sizes, flat in in_groups(texts):
-            ids = self.words.numbers(flat) if flat else np.zeros(0, np.int64)
-            s = self.words.rows[ids, 0]
+            ids = words.numbers(flat) if flat else np.zeros(0, np.int64)
+            s = words.rows[ids, 0]
             at = 0
             for n in sizes:
                 best = 0.0
@@ -209,7 +207,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             s = pa.array(m.scores(b.column(at).to_pylist()), pa.float64())
             yield pa.record_batch([*b.columns, s], schema=pa.schema([*b.schema, ("_score", pa.float64())]))
 
-    out = src.mapInArrow(run, StructType([*src.schema.fields, StructField("_score", DoubleType())]))
+    out = src.mapInArrow(trimmed(run), StructType([*src.schema.fields, StructField("_score", DoubleType())]))
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], F.col("_score").alias("score"))
 
 
