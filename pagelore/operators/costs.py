@@ -99,7 +99,7 @@ def expected_rdac(rank_lo: Column, rank_hi: Column, eps: int, ipp: int = ITEMS_P
         return F.struct((acc["n"] + n).cast("bigint").alias("n"), (acc["s"] + F.when(n > 0, pages).otherwise(0)).cast("double").alias("s"))
 
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"))
-    return F.aggregate(F.sequence(F.lit(-eps).cast("bigint"), F.lit(eps).cast("bigint")), zero, step, lambda a: a["s"] / a["n"])
+    return F.aggregate(F.sequence(F.lit(-eps).cast("bigint"), F.lit(eps).cast("bigint")), zero, step, lambda a: a["s"] / F.nullif(a["n"], F.lit(0)))
 
 
 def distinct_pages(windows: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def _solver(name, term, cap):
     sql = POP.replace("WITH ", "WITH RECURSIVE ", 1) + f""", b(i, lo, hi) AS (SELECT 0, 0.0::DOUBLE, 1e9::DOUBLE UNION ALL
   SELECT b.i + 1, CASE WHEN s.v < {cap} THEN (b.lo + b.hi) / 2 ELSE b.lo END, CASE WHEN s.v < {cap} THEN b.hi ELSE (b.lo + b.hi) / 2 END
   FROM b, LATERAL (SELECT sum(n * {term.replace('TT', '((b.lo + b.hi) / 2)')}) AS v FROM hist) s WHERE b.i < 90)
-SELECT round(time, 3) AS time, round((SELECT sum(n * q * {term.replace('TT', 'time')}) FROM hist), 6) AS hit_ratio FROM (SELECT (lo + hi) / 2 AS time FROM b WHERE i = 90)"""
+SELECT CASE WHEN (SELECT count(*) FROM pop) <= {cap} THEN 'infinity'::DOUBLE ELSE round(time, 3) END AS time, round((SELECT sum(n * q * {term.replace('TT', 'time')}) FROM hist), 6) AS hit_ratio FROM (SELECT (lo + hi) / 2 AS time FROM b WHERE i = 90)"""
 
     @query(sql, "events_keys event_probes", name=name)
     def run(spark, d):
