@@ -76,7 +76,7 @@ class Model:
 
     def scores(self, texts) -> list[float]:
         """Of each text the probability of the toxic class for its most toxic passage; 0 without a
-        model. A text without words has the probability that the bias alone gives."""
+        model, and for a text without words."""
         if self.margin is None:
             return [0.0 for _ in texts]
         words = WordRows.of_model(self.uid, self._make, 1)
@@ -86,12 +86,13 @@ class Model:
             s = words.rows[ids, 0]
             at = 0
             for n in sizes:
-                best = 0.0
+                best = -np.inf
                 if n:
                     best = max(float(m.max()) for *_, m in passage_sums(ids[at : at + n], s[at : at + n], self.window))
                 out.append(best + self.bias)
                 at += n
-        return (1 / (1 + np.exp(-np.clip(self.scale * np.array(out) + self.shift, -50, 50)))).tolist()
+        odds = np.array(out)
+        return np.where(np.isinf(odds), 0.0, 1 / (1 + np.exp(-np.clip(self.scale * odds + self.shift, -50, 50)))).tolist()
 
 
 def calibrate(model: Model, texts: list[str], labels: np.ndarray, prior: float) -> None:
@@ -118,8 +119,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float = 0.2, window: int
         return Model()
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (1 << BITS, DIM))
-    layer, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-    ge, gl, gb = np.full(1 << BITS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    # The bias is fixed against the toxic class: words must speak for it, their absence must not.
+    layer, bias = rng.normal(0, 0.5, (DIM, 2)), np.array([1.0, -1.0])
+    ge, gl = np.full(1 << BITS, 1e-6), np.full((DIM, 2), 1e-6)
     held = np.arange(len(labels)) % 5 == 4
     docs = [words_of(t) for t in texts]
     keep = [i for i, w in enumerate(docs) if w and not held[i]]
@@ -164,12 +166,10 @@ def train(texts: list[str], labels: np.ndarray, prior: float = 0.2, window: int
             np.add.at(g, where, np.concatenate(grads_v))
             g += l2 * embed[cells]
             ge[cells] += (g * g).mean(axis=1)
-            dl, db = v.T @ x, x.sum(axis=0)
+            dl = v.T @ x
             gl += dl * dl
-            gb += db * db
             embed[cells] -= rate * g / np.sqrt(ge[cells])[:, None]
             layer -= 0.2 * dl / np.sqrt(gl)
-            bias -= 0.1 * db / np.sqrt(gb)
     model = Model(embed, layer, bias, window)
     calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], labels[held], prior)
     return model
@@ -192,8 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs + score: every whole text's probability of being toxic, from its text alone. Null and empty
-    texts are scored as texts without words. Every row stays."""
+    """docs + score: every whole text's probability of being toxic, from its text alone. Null
+    texts and those without a letter score 0. Every row stays."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS doubles
     names = list(docs.columns)
     src = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
