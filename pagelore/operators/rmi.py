@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pagelore.operators.keys import ordinal
 from pagelore.runtime import stored
 
-TOP_ONLY = ("radix", "normal", "lognormal", "loglinear", "robust_linear", "histogram", "bradix")
+TOP_ONLY = ("radix", "radix8", "radix12", "normal", "lognormal", "loglinear", "robust_linear", "histogram", "bradix")
 ANYWHERE = ("linear", "linear_spline", "cubic")
 
 
@@ -68,6 +68,8 @@ def fit(points: DataFrame, kind: str, x: str = "key", y: str = "pos"):
         width = max(1, int(r.top or 0).bit_length())
         shift, base = max(0, 64 - shared - width), int(r.a) >> (64 - shared) << (64 - shared) if shared < 64 else int(r.a)
         return lambda c: F.floor((c - base) / float(1 << shift)) if kind == "radix" else F.least(F.lit(r.top), F.floor((c - base) / float(1 << shift)))
+    if kind.startswith("radix"):
+        return _radix_table(points, int(kind[5:]), x, y)
     if kind == "histogram":
         return _histogram(points, x, y)
     raise ValueError(f"unknown model {kind}")
@@ -101,6 +103,25 @@ def _cubic(points, x, y):
     return cubic if off.c <= off.l else line
 
 
+def _radix_table(points, bits, x, y):
+    """The first rank under each value of the key's top bits behind the shared prefix; a value without keys
+    has the next one's. The table is part of the expression, so it takes at most 2^12 entries."""
+    if not 1 <= bits <= 12:
+        raise ValueError("a radix table has 1 to 12 bits")
+    r = points.agg(F.min(F.col(x)).alias("a"), F.max(F.col(x)).alias("b"), F.max(F.col(y)).alias("top")).first()
+    if r.a is None:
+        return lambda c: F.lit(0.0)
+    shift = max(0, 64 - common_prefix_bits(int(r.a), int(r.b)) - bits)
+    base = int(r.a) >> (shift + bits) << (shift + bits)
+    slot = lambda c: F.least(F.greatest(F.floor((c - base) / float(1 << shift)), F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
+    first = dict(points.groupBy(slot(F.col(x)).alias("s")).agg(F.min(F.col(y).cast("double")).alias("p")).collect())
+    table, last = [0.0] * (1 << bits), float(r.top)
+    for s in reversed(range(1 << bits)):
+        last = table[s] = first.get(s, last)
+    arr = F.array(*[F.lit(v) for v in table])
+    return lambda c: F.element_at(arr, slot(c) + 1)
+
+
 def _histogram(points, x, y, bins: int = 4096):
     """Equi-depth: a key predicts the bin that its rank falls into; pivots are every depth-th key."""
     n = points.count()
@@ -168,6 +189,36 @@ def train(ranked_keys: DataFrame, top: str = "linear", leaf: str = "linear", bf:
     return model
 
 
+def train_bounded(ranked_keys: DataFrame, line: int, top: str = "linear", bf: int = 64) -> tuple[Rmi, DataFrame]:
+    """A model over the knots of a line-aligned spline, and the knots (key, rank, pos): a lookup goes to the
+    knot before it and interpolates to the next. The spline is one sequential pass, in chunks of keys."""
+    import pyarrow as pa
+
+    from pagelore.operators.keys import ranked
+
+    def run(batches):
+        at, ks, rs = None, [], []
+        for b in batches:
+            for c, k, p in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if c != at and ks:
+                    yield knots(ks, rs)
+                    ks, rs = [], []
+                at = c
+                ks.append(k)
+                rs.append(p)
+        if ks:
+            yield knots(ks, rs)
+
+    def knots(ks, rs):
+        out = line_spline(ks, rs, line)
+        return pa.record_batch([pa.array([k for k, _ in out], pa.int64()), pa.array([r for _, r in out], pa.int64())], names=["key", "rank"])
+
+    rows = ranked_keys.select(F.floor(F.col("pos") / (1 << 18)).cast("bigint").alias("chunk"), "key", "pos")
+    found = stored(rows.repartition("chunk").sortWithinPartitions("chunk", "pos").mapInArrow(run, "key bigint, rank bigint"), "knots")
+    at = ranked(found.select("key")).join(found, "key").select("key", "rank", "pos")
+    return train(at, top, "linear", bf), at
+
+
 def error_stats(model: Rmi, ranked_keys: DataFrame) -> DataFrame:
     """avg_error, avg_l2, avg_log2 and max over keys of their leaf's error."""
     k = model.predict(ranked_keys.select("key", "pos"))
