@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelore.operators.access import range_records
 from pagelore.operators.keys import ordinal, running_total
+from pagelore.runtime import stored
 
 
 class JoinMode(str, Enum):
@@ -52,7 +53,7 @@ def join(outer: DataFrame, inner: DataFrame, mode: JoinMode | str, parts: DataFr
         if ends.a is None:
             return outer.select("row_id", "key")
         return outer.hint("merge").join(inner.where(F.col("key").between(ends.a, ends.b)).select("key"), "key").select("row_id", "key")
-    dealt = deal(outer, parts)
+    dealt = stored(deal(outer, parts), "dealt")
     points = dealt.where("is_range = 0").join(inner.select("key"), "key", "left_semi")
     spans = dealt.where("is_range = 1").groupBy("part_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     fetched = range_records(spans.withColumnRenamed("part_id", "query_idx"), inner).withColumnRenamed("query_idx", "part_id")
@@ -60,17 +61,18 @@ def join(outer: DataFrame, inner: DataFrame, mode: JoinMode | str, parts: DataFr
     return points.select("row_id", "key").unionByName(ranged.select("row_id", "key"))
 
 
+#: Positions are matched with partitions by equality on blocks of so many.
+BLOCK = 4096
+
+
 def deal(outer: DataFrame, parts: DataFrame) -> DataFrame:
-    """(row_id, key, part_id, is_range): the outer in key order, dealt to consecutive partitions. Positions
-    and partition ends are merged by one running total, as ranks are."""
-    rows = ordinal(outer.select("row_id", "key"), ["key", "row_id"], "ord")
+    """(row_id, key, part_id, is_range): the outer in key order, dealt to consecutive partitions. A partition
+    names the blocks of positions that it covers, so positions find theirs by an equi-join and a bounds check."""
+    rows = ordinal(outer.select("row_id", "key"), ["key", "row_id"], "ord").withColumn("_b", F.floor(F.col("ord") / BLOCK).cast("bigint"))
     ends = running_total(parts.select("part_id", F.col("len").cast("bigint").alias("len"), "is_range"), ["part_id"], "len", "end")
-    starts = ends.select((F.col("end") - F.col("len")).alias("key"), "part_id", "is_range")
-    from pagelore.operators.keys import rank_of
-
-    at = rank_of(rows.select(F.col("ord").alias("key"), F.col("key").alias("_key"), "row_id"), starts, True, id_col="row_id", name="_n")
-    numbered = ordinal(starts.select("key", "part_id", "is_range"), ["key"], "_n").withColumn("_n", F.col("_n") + 1)
-    return at.join(numbered.select("_n", "part_id", "is_range"), "_n").select("row_id", F.col("_key").alias("key"), "part_id", "is_range")
+    spans = ends.select("part_id", "is_range", (F.col("end") - F.col("len")).alias("_from"), F.col("end").alias("_to"))
+    spans = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") / BLOCK).cast("bigint"), F.floor((F.col("_to") - 1) / BLOCK).cast("bigint"))))
+    return rows.join(spans, "_b").where("ord >= _from and ord < _to").select("row_id", "key", "part_id", "is_range")
 
 
 def join_summary(joined: DataFrame, mode: JoinMode | str) -> DataFrame:
