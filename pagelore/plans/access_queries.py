@@ -203,7 +203,7 @@ def star_profit(spark, d):
     for t in ("lineitem", "orders", "customer", "supplier", "nation", "region", "part"):
         table(spark, d, t).createOrReplaceTempView(t)
     return spark.sql("""
-        SELECT year(o_orderdate) AS o_orderdate_year, n_name, p_brand, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity), 2) AS profit
+        SELECT cast(year(o_orderdate) AS bigint) AS o_orderdate_year, n_name, p_brand, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity), 2) AS profit
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
         JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey
         WHERE r_name = (SELECT min(r_name) FROM region) AND p_size BETWEEN 1 AND 15
