@@ -21,10 +21,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count proves that it is small, else left to a shuffled join.
-    ``df`` should be stored: it is read for the count and again by the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """A count proves that ``df`` has at most so many rows. It should be stored: the join reads it again."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str = "merge") -> DataFrame:
+    """``df`` marked for broadcast if it fits, else for a shuffled join."""
+    return F.broadcast(df) if fits(df, rows) else df.hint(otherwise)
 
 
 def trimmed(run):

@@ -11,36 +11,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import ascii_lower, sized
+from pagelore.llm.common import BROADCAST_ROWS, ascii_lower, fits
 from pagelore.runtime import stored, table
 
 PREFIX_CHARS = 128
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: ``id_col``, the ``carry`` columns, keep_id, group_size, kept, full_hash.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
     row with the largest id stays (a null id is smaller than any other); rows that repeat the kept
     id are one document and stay with it. full_hash (SHA-256 of the normalised text) is null for
     rows that an earlier step proved unique. An empty table gives an empty result. Other columns of
-    ``docs``, whatever their names, are not read unless carried.
+    ``docs``, whatever their names, are not read unless carried. Tables of up to broadcast_rows keys
+    are broadcast; beyond, hashes are shuffled, still without texts, and full hashes are taken of all.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)], text.alias("_text"), F.octet_length(text).alias("_len"))
     prefix = F.xxhash64(ascii_lower(F.substring("_text", 1, prefix_chars)))
 
-    lengths = sized(stored(rows.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len"), "lengths"))
-    prefixes = rows.select("_len", "_text").join(lengths, "_len", "left_semi").select("_len", prefix.alias("_prefix"))
-    prefixes = sized(stored(prefixes.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_prefix", F.lit(True).alias("_open")), "prefixes"))
+    carried = [f"_carry{i}" for i in range(len(carry))]
+    full = F.sha2(ascii_lower("_text").cast("binary"), 256)
 
-    # Prefixes are hashed again only where the length survived: the open flag comes from the join.
-    seen = rows.withColumn("_prefix", prefix).join(prefixes, ["_len", "_prefix"], "left")
-    full = F.when(F.col("_open"), F.sha2(ascii_lower("_text").cast("binary"), 256))
-    narrow = stored(seen.select("_id", *[f"_carry{i}" for i in range(len(carry))], full.alias("_full")), "hashes")
+    lengths = stored(rows.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len"), "lengths")
+    if fits(lengths, broadcast_rows):  # the prefix is hashed behind the join, of rows that are left
+        keyed = rows.select("_len", "_text").join(F.broadcast(lengths), "_len", "left_semi").select("_len", prefix.alias("_prefix"))
+    else:  # a shuffled join takes hashes, not texts
+        keyed = rows.select("_len", prefix.alias("_prefix")).join(lengths, "_len", "left_semi")
+    prefixes = stored(keyed.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_prefix", F.lit(True).alias("_open")), "prefixes")
+    rows = rows.withColumn("_prefix", prefix)
+    if fits(prefixes, broadcast_rows):  # so is the full text
+        seen = rows.join(F.broadcast(prefixes), ["_len", "_prefix"], "left").select("_id", *carried, F.when(F.col("_open"), full).alias("_full"))
+    else:
+        seen = rows.select("_id", *carried, "_len", "_prefix", full.alias("_all")).join(prefixes, ["_len", "_prefix"], "left").select("_id", *carried, F.when(F.col("_open"), F.col("_all")).alias("_full"))
+    narrow = stored(seen, "hashes")
 
-    groups = narrow.where("_full is not null").groupBy("_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1")
-    out = narrow.join(sized(stored(groups, "groups")), "_full", "left")
+    groups = stored(narrow.where("_full is not null").groupBy("_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "groups")
+    out = narrow.join(F.broadcast(groups) if fits(groups, broadcast_rows) else groups, "_full", "left")
     keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     return out.select(
         F.col("_id").alias(id_col), *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)],

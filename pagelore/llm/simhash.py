@@ -193,10 +193,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
     """docs without near duplicates: of each class the row with the smallest id stays. Rows of one id
-    stay or go together; rows of the null id stay if no other id is in their class. Only ids are joined."""
+    stay or go together; rows of the null id stay if no other id is in their class. The ids that go are
+    broadcast if they fit; beyond, rows are shuffled once and not sorted."""
     classes = near_duplicates(docs, id_col, text_col, **rule)
     gone = stored(classes.where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct(), "gone")
-    return docs.join(sized(gone), F.col(id_col).cast("bigint").eqNullSafe(gone["id"]), "left_anti")
+    return docs.join(sized(gone, otherwise="shuffle_hash"), F.col(id_col).cast("bigint").eqNullSafe(gone["id"]), "left_anti")
 
 
 def op5_simhash_dedup(spark, sf_dir):

@@ -30,8 +30,9 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or ""))
 
 
-def test_exact_dedup(spark):
-    got = exact_dedup.exact_dedup(docs(spark, ROWS), carry=("text", "_len")).collect()
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_exact_dedup(spark, broadcast_rows):
+    got = exact_dedup.exact_dedup(docs(spark, ROWS), carry=("text", "_len"), broadcast_rows=broadcast_rows).collect()
     assert len(got) == len(ROWS)
     groups = collections.defaultdict(list)
     for i, t, *_ in ROWS:
@@ -384,7 +385,7 @@ def test_language_id(spark):
     rng = random.Random(7)
     stems = {"xx": ["the", "of", "wher"], "yy": ["quar", "uña", "llo"], "zz": ["sch", "ünd", "keit"]}
     rows = [(i, words(rng, stems[lang], rng.randrange(5, 60)), lang, "s") for i in range(400) for lang in [["xx", "yy", "zz"][i % 3]]]
-    rows += [(900, None, "xx", "s"), (901, "", "xx", "s"), (902, "12 34 !", "yy", "s"), (903, "the of", None, "s"), (904, LONG, None, "s")]
+    rows += [(900, None, "xx", "s"), (901, "", "xx", "s"), (902, "12 34 ! \u00bd \u2167", "yy", "s"), (903, "the of", None, "s"), (904, LONG, None, "s")]
     d = docs(spark, rows)
     m = language_id.fit(d.where("doc_id % 5 <> 0"))
     got = {r.id: r for r in language_id.identify(d, m).collect()}
