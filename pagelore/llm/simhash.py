@@ -7,10 +7,11 @@ link, and candidates are verified on all 64 bits.
 
 Only distinct fingerprints are indexed, so copies cost one row. Within a bucket (one variant) links are
 not expanded into pairs: fingerprints are linked to the first of the bucket's own components, so a bucket
-gives fewer links than it has members. Buckets of up to ``bucket_cap`` members are verified with NumPy
-in blocks. A larger bucket is not cut short: its members go on to a second index, whose keys delete
-radius bits at once (C(64, radius) variants); there equality alone proves a link, so any number of members
-are linked to their least by a plain aggregation.
+gives fewer links than it has members. Chance members are the most by far: buckets of a few are first searched
+for any close pair, all at once. Buckets of up to ``bucket_cap`` members are verified in one task. A larger
+bucket is not cut short. With a radius of 2 its members go on to a second index, whose keys delete two bits
+at once; there equality alone proves a link, so any number of members are linked to their least by a plain
+aggregation. With a larger radius they are dealt to blocks, and each pair of blocks is verified in a task.
 """
 
 from __future__ import annotations
@@ -102,75 +103,105 @@ def _local_links(fp: np.ndarray, radius: int):
                 yield fp[i], fp[j]
 
 
+#: Buckets of up to so many members are searched together for any close pair.
+FEW = 48
+
+
+def _close_buckets(keys: np.ndarray, fp: np.ndarray, start: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """Which buckets may hold a pair within the radius: of those with a few members, those that do."""
+    few = (sizes > 1) & (sizes <= FEW)
+    rows = np.flatnonzero(np.repeat(few, sizes))
+    bucket = np.repeat(np.arange(len(start)), sizes)[rows]
+    x, close = fp[rows], np.zeros(len(start), bool)
+    for d in range(1, min(FEW, len(rows))):
+        same = bucket[d:] == bucket[:-d]
+        if not same.any():
+            break
+        near = same & (np.bitwise_count(x[d:] ^ x[:-d]) <= radius)
+        close[bucket[d:][near]] = True
+    return np.flatnonzero(close | (sizes > FEW))
+
+
 def _bucket_links(radius: int, cap: int):
-    """Rows sorted by key -> links (a, b); of buckets above the cap their members, as (fp, null)."""
+    """Rows (key, fp) sorted by key -> links (key, a, b); of buckets above the cap their members, as (key, fp, null)."""
 
     def run(batches):
         keys, fps, over, over_key = np.zeros(0, np.int64), np.zeros(0, np.int64), False, None
 
+        def batch(key, x, y):
+            y = pa.nulls(len(x), pa.int64()) if y is None else pa.array(y)
+            return pa.record_batch([pa.array(np.full(len(x), key, np.int64)), pa.array(x), y], names=["key", "a", "b"])
+
         def done(keys, fps):
-            a, b = [], []
-            start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+            if not len(keys):
+                return
+            start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[start, len(keys)])
-            two = start[sizes == 2]
-            x, y = fps[two].view(np.uint64), fps[two + 1].view(np.uint64)
-            near = np.bitwise_count(x ^ y) <= radius
-            a.append(x[near])
-            b.append(y[near])
-            for s, n in zip(start[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            unsigned = fps.view(np.uint64)
+            links = []
+            for k in _close_buckets(keys, unsigned, start, sizes, radius).tolist():
+                s, n = start[k], sizes[k]
                 if n > cap:
-                    yield fps[s : s + n], None
-                    continue
-                found = list(_local_links(fps[s : s + n].view(np.uint64), radius))
-                if found:
-                    m = np.array(found, dtype=np.uint64)
-                    a.append(m[:, 0])
-                    b.append(m[:, 1])
-            yield np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-
-        def batch(x, y):
-            y = pa.nulls(len(x), pa.int64()) if y is None else pa.array(y)
-            return pa.record_batch([pa.array(x), y], names=["a", "b"])
+                    yield batch(keys[s], fps[s : s + n], None)
+                else:
+                    links += _local_links(unsigned[s : s + n], radius)
+            if links:
+                m = np.array(links, dtype=np.uint64).view(np.int64)
+                yield batch(0, m[:, 0].copy(), m[:, 1].copy())
 
         for r in batches:
             k, f = r.column(0).to_numpy(), r.column(1).to_numpy()
             if over:  # the bucket that is too large goes on
-                n = int(np.searchsorted(k != over_key, True)) if (k != over_key).any() else len(k)
+                n = int(np.argmax(k != over_key)) if (k != over_key).any() else len(k)
                 if n:
-                    yield batch(f[:n], None)
+                    yield batch(over_key, f[:n], None)
                 k, f = k[n:], f[n:]
                 if not len(k):
                     continue
                 over = False
+            if not len(k):
+                continue
             keys, fps = np.concatenate([keys, k]), np.concatenate([fps, f])
             cut = int(np.searchsorted(keys, keys[-1]))
-            for x, y in done(keys[:cut], fps[:cut]):
-                if len(x):
-                    yield batch(x, y)
+            yield from done(keys[:cut], fps[:cut])
             keys, fps = keys[cut:], fps[cut:]
             if len(keys) > cap:
-                yield batch(fps, None)
+                yield batch(keys[-1], fps, None)
                 over, over_key, keys, fps = True, keys[-1], keys[:0], fps[:0]
-        for x, y in done(keys, fps):
-            if len(x):
-                yield batch(x, y)
+        yield from done(keys, fps)
 
     return run
 
 
+LINKS = "key bigint, a bigint, b bigint"
+
+
+def _two_bit_links(crowded: DataFrame, radius: int) -> DataFrame:
+    """Every pair within the radius agrees on all but some ``radius`` bits: equal there, equal for good."""
+    masks = [sum(1 << i for i in c) for c in combinations(range(BITS), radius)]
+    table_ = F.array(*[F.lit(~m if m < 2**63 else ~m + 2**64) for m in masks])
+    keyed = crowded.select(F.col("a").alias("fp")).distinct().select("fp", F.posexplode(table_).alias("v", "mask")).select("v", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
+    least = keyed.groupBy("v", "k").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m <> x")
+    return keyed.join(least.drop("x"), ["v", "k"]).where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct()
+
+
+def _block_links(crowded: DataFrame, radius: int, cap: int) -> DataFrame:
+    """Members of large buckets in blocks of about half the cap: each pair of blocks of a bucket is one group."""
+    n = crowded.groupBy("key").agg(F.ceil(2 * F.count("*") / cap).cast("bigint").alias("blocks"))
+    x = crowded.select("key", F.col("a").alias("fp")).join(n, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    x = x.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    # Two groups whose hashes meet are verified together: more comparisons, the same links.
+    x = x.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    return x.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(trimmed(_bucket_links(radius, 1 << 40)), LINKS).select("a", "b")
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket_cap: int = 4096) -> DataFrame:
     """distinct (fp) -> links (a, b) whose components are those of all pairs within the radius."""
     rows = distinct.select("fp").mapInArrow(_variants(segments_for(radius)), "key bigint, fp bigint")
-    found = stored(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_links(radius, bucket_cap), "a bigint, b bigint"), "found")
-    links = found.where("b is not null")
-    crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    found = stored(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(trimmed(_bucket_links(radius, bucket_cap)), LINKS), "found")
+    links, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
     if not crowded.isEmpty():
-        # Every pair of the bucket within the radius agrees on all but some `radius` bits.
-        masks = [sum(1 << i for i in c) for c in combinations(range(BITS), radius)]
-        table_ = F.array(*[F.lit(~m if m < 2**63 else ~m + 2**64) for m in masks])
-        keyed = crowded.select("fp", F.posexplode(table_).alias("v", "mask")).select("v", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
-        least = keyed.groupBy("v", "k").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m <> x")
-        links = links.union(keyed.join(least.drop("x"), ["v", "k"]).where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct())
+        links = links.union(_two_bit_links(crowded, radius) if radius <= 2 else _block_links(crowded, radius, bucket_cap))
     return links.distinct()
 
 

@@ -51,7 +51,7 @@ def test_lines(stages):
 
 def test_one_of_each_class(stages):
     r = stages[2].collect()
-    classes = link_classes([x.doc_id for x in r], [simhash.fingerprint(x.text, 3) for x in r], 3)
+    classes = link_classes([x.doc_id for x in r], [simhash.fingerprint(x.text, 3) for x in r], 5)
     assert rows(stages[3]) == collections.Counter(tuple(x) for x, c in zip(r, classes, strict=True) if x.doc_id == c)
 
 
