@@ -35,10 +35,13 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         sets = BucketSets()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                n += 1
-                if words := set(words_of(text)):
-                    df[sets.of(words)] += 1
+            for sizes, flat in in_groups(b.column(0).to_pylist()):
+                sets.learn(flat)
+                n, at = n + len(sizes), 0
+                for k in sizes:
+                    if k:
+                        df[sets.of(set(flat[at : at + k]))] += 1
+                    at += k
         at = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.r_[-1, at]), pa.array(np.r_[n, df[at]])], names=["bucket", "n"])
 
@@ -54,23 +57,39 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 class BucketSets:
-    """The buckets of a set of words, as indexes; buckets of known words are kept, up to a bound."""
-
-    def __init__(self, cap: int = 60_000):
-        self.cap, self.known = cap, {}
-
-    def of(self, words: set[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.known]
+    """The buckets of a set of words. Buckets of words are computed for many texts at once and kept, up to a bound."""
+
+    def __init__(self, cap: int = 100_000):
+        self.cap, self.seen = cap, np.zeros(1 << BITS, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        """number: word -> row of start and size, which say where its buckets are."""
+        self.number, self.buckets, self.start, self.size = {}, np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        words = list(dict.fromkeys(words))
+        new = [w for w in words if w not in self.number]
+        if len(self.number) + len(new) > self.cap and self.number:
+            self._forget()
+            new = words
         if new:
-            if len(self.known) + len(new) > self.cap:
-                self.known.clear()
-                new = list(words)
             at, bucket = ngram_buckets(new, SIZES, BITS)
-            ends = np.searchsorted(at, np.arange(1, len(new)))
-            self.known.update(zip(new, np.split(bucket.astype(np.uint16), ends), strict=True))
-        seen = np.zeros(1 << BITS, bool)
-        seen[np.concatenate([self.known[w] for w in words])] = True
-        return np.flatnonzero(seen)
+            size = np.bincount(at, minlength=len(new))
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            self.start = np.concatenate([self.start, len(self.buckets) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.buckets = np.concatenate([self.buckets, bucket.astype(np.uint16)])
+
+    def of(self, words: set[str]) -> np.ndarray:
+        """The buckets of words that have been learned, as indexes."""
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        n = self.size[at]
+        ends = np.cumsum(n)
+        self.seen[self.buckets[np.arange(ends[-1]) + np.repeat(self.start[at] - ends + n, n)]] = True
+        out = np.flatnonzero(self.seen)
+        self.seen[out] = False
+        return out
 
 
 def _tfidf(texts: list[str], idf: np.ndarray, scale: float):
@@ -142,7 +161,7 @@ class Model:
         for sizes, flat in in_groups(texts):
             rows, at = words.of(flat), 0
             for n in sizes:
-                if n:
+                if n and any(c.isalpha() for w in flat[at : at + n] for c in w):  # numerals such as Roman ones are no letters
                     total = rows[at : at + n].sum(axis=0)
                     p = _softmax(((total[:-1] / total[-1] + self.bias) / self.temperature)[None, :])[0]
                     best = int(p.argmax())
