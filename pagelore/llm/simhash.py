@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import sized, trimmed
-from pagelore.llm.components import components
+from pagelore.llm.components import FILE_ROWS, components
 from pagelore.runtime import stored, table
 
 BITS = 64
@@ -200,9 +200,9 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket_cap: int = 40
     rows = distinct.select("fp").mapInArrow(_variants(segments_for(radius)), "key bigint, fp bigint")
     found = stored(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(trimmed(_bucket_links(radius, bucket_cap)), LINKS), "found")
     links, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
-    if not crowded.isEmpty():
-        links = links.union(_two_bit_links(crowded, radius) if radius <= 2 else _block_links(crowded, radius, bucket_cap))
-    return links.distinct()
+    if crowded.isEmpty():
+        return links.distinct().coalesce(1 + found.count() // FILE_ROWS)
+    return links.union(_two_bit_links(crowded, radius) if radius <= 2 else _block_links(crowded, radius, bucket_cap)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, bucket_cap: int = 4096) -> DataFrame:
@@ -215,8 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = stored(fingerprints(docs, id_col, text_col, words), "prints")
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(fingerprint_links(distinct, radius, bucket_cap))
-    roots = stored(roots.select(F.col("node").alias("fp"), "root"), "roots")
+    links = stored(fingerprint_links(distinct, radius, bucket_cap), "links")
+    n = links.count()
+    roots = components(links, at_most=n)
+    roots = stored(roots.select(F.col("node").alias("fp"), "root").coalesce(1 + 2 * n // FILE_ROWS), "roots")
     named = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component"))
     classes = distinct.join(roots.join(named, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
     return prints.join(classes, "fp").select("id", "fp", "component")
