@@ -69,7 +69,7 @@ def _stream(min_docs: int, keep_first: bool, border: dict):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        held, open_key, known = [], None, False  # rows of the open run; whether the run is known to be dropped
+        held, open_key = [], None  # rows of the open run; the hash of an open run whose rows have gone on, as it has enough documents
 
         def dropped(rows, first_known):
             """Of whole runs: those of enough documents, without the first row if that stays."""
@@ -107,7 +107,8 @@ def _stream(min_docs: int, keep_first: bool, border: dict):
                 rows = {k: np.concatenate([held[k], v]) for k, v in rows.items()}
             last = (int(rows["h1"][-1]), int(rows["h2"][-1]))
             begins = int(np.flatnonzero((rows["h1"] != last[0]) | (rows["h2"] != last[1]))[-1]) + 1 if (rows["h1"][0], rows["h2"][0]) != last else 0
-            known_here, known = known, known and begins == 0
+            known_here = (int(rows["h1"][0]), int(rows["h2"][0])) == open_key
+            known = known_here and begins == 0
             # The last run stays open unless it is sure to be dropped already.
             tail = {k: v[begins:] for k, v in rows.items()}
             enough = known or border.get(last, (0, 0))[0] >= min_docs or len(np.unique(tail["doc"])) >= min_docs
@@ -116,9 +117,9 @@ def _stream(min_docs: int, keep_first: bool, border: dict):
                 out = dropped({k: v[:upto] for k, v in rows.items()}, known_here)
                 if len(out["doc"]):
                     yield batch(out)
-            known, held = enough, {} if enough else tail
+            open_key, held = last if enough else None, {} if enough else tail
         if held:
-            out = dropped(held, known)
+            out = dropped(held, False)
             if len(out["doc"]):
                 yield batch(out)
 
