@@ -11,9 +11,8 @@ from pagelore.runtime import shared_dir, ship, table
 
 #: Documents at or above this score go.
 TOXIC_FROM = 0.5
-#: Lines of 20 characters or more stay in the first of the documents that share them; a document that
-#: would lose more than half of its lines is a copy, and is left to the next stage.
-LINES = {"min_docs": 2, "min_chars": 20, "keep_first": True, "most": 0.5}
+#: Lines of 20 characters or more stay in the first of the documents that share them, and only there.
+LINES = {"min_docs": 2, "min_chars": 20, "keep_first": True}
 #: Fingerprints of three-word shingles, linked at five bits or fewer: three segments suffice.
 NEAR = {"words": 3, "radius": 5}
 

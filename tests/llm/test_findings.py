@@ -3,7 +3,9 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline as pipeline
 from pagelore.llm import line_dedup
 from tests.llm.test_small_tables import brute_lines, docs
 
@@ -22,3 +24,12 @@ def test_line_runs_that_end_with_a_batch(spark, rule, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     have = collections.Counter((r.doc_id, r._n_lines, r._n_dropped, r._kept) for r in got)
     assert have == collections.Counter((i, *want[i, t]) for i, t in rows)
+
+
+def test_pipeline_drops_repeats_of_documents_that_are_mostly_repeats(spark):
+    shared = [f"passage number {n} that many documents share" for n in range(9)]
+    rows = [(i, "\n".join([*shared[: 1 + i % 9], f"this line is document {i}'s own", *["short"] * (i % 3)])) for i in range(20)] + [(50, "\n".join(shared))]
+    want = brute_lines(rows, 2, 20, True)
+    out = pipeline.drop_repeated_lines(spark, docs(spark, [(i, t, "en", "s") for i, t in rows]).withColumn("n_chars", F.lit(0).cast("bigint")), None).collect()
+    assert {(r.doc_id, r.text, r.n_chars) for r in out} == {(i, want[i, t][2], len(want[i, t][2])) for i, t in rows} and len(out) == len(rows)
+    assert sum("passage number" in x for r in out for x in r.text.split("\n")) == len(shared)
