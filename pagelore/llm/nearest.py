@@ -10,7 +10,8 @@ exceeds the distance of the worst neighbour held: 1 is exact, above 1 skips more
 Of equal vectors only the k + 1 smallest ids can ever be among k nearest, ties going to the smaller id and
 the query's own id left out; the others are dropped before the shuffle, by a map-side limit, so a vector
 that a third of all rows share stays a few rows. The best of all shards are merged by a window over
-k rows of each shard.
+k rows of each shard. Different vectors can have one cosine (v, 2 v, 4 v): where more rows than the tree
+holds lie within a rounding margin of the (k + 1)-th best, the shard is scanned for all of them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from pagelore.runtime import stored, table
 
 SHARD_ROWS, LEAF, BLOCK, SLACK = 16_384, 64, 1024, 4
+#: Cosines of the tree that differ by less may be in another order, or equal, when rescored.
+MARGIN = 1e-11
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -64,7 +67,8 @@ class VpTree:
         return self.rows, self.best
 
     def _bound(self, act):
-        return np.sqrt(np.maximum(0.0, 2 - 2 * self.best[act, self.need - 1])) + 1e-9
+        # Near 0 a distance is the root of a rounding error: ties lie up to about 1e-6 apart.
+        return np.sqrt(np.maximum(0.0, 2 - 2 * self.best[act, self.need - 1])) + 1e-5
 
     def _visit(self, slot: int, act: np.ndarray) -> None:
         if not len(act):
@@ -113,10 +117,16 @@ def _search_shard(k: int, relax: float):
             for at in range(0, len(qid), BLOCK):
                 x = q[at : at + BLOCK].astype(np.float64)
                 own = np.sqrt(_sum(x * x))
-                found, _ = tree.search(x / own[:, None], k + 1 + SLACK, k + 1, relax)
+                found, best = tree.search(x / own[:, None], k + 1 + SLACK, k + 1, relax)
+                tied = (found[:, -1] >= 0) & (best[:, -1] >= best[:, k] - MARGIN)
                 for i, r in enumerate(found):
+                    if tied[i]:  # more rows than are held may be among the best: all of the shard that may
+                        r = np.flatnonzero(tree.unit @ (x[i] / own[i]) >= best[i, k] - MARGIN)
                     r = r[r >= 0]
                     score = _sum(rows[r] * x[i]) / (own[i] * norm[r])
+                    if tied[i]:  # each row has an id, so k + 1 of them have k besides the query's own
+                        top = np.lexsort(([members[j][0] for j in r.tolist()], -score))[: k + 1]
+                        r, score = r[top], score[top]
                     me = qid[at + i]
                     got = sorted((-s, v) for s, j in zip(score.tolist(), r.tolist(), strict=True) for v in members[j][: k + 1].tolist() if v != me)[:k]
                     out[0].extend([me] * len(got))

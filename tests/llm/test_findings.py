@@ -2,11 +2,12 @@
 
 import collections
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from pagelore.llm import line_dedup
+from pagelore.llm import line_dedup, nearest
 from tests.llm.test_small_tables import brute_lines, docs
 
 
@@ -33,3 +34,17 @@ def test_pipeline_drops_repeats_of_documents_that_are_mostly_repeats(spark):
     out = pipeline.drop_repeated_lines(spark, docs(spark, [(i, t, "en", "s") for i, t in rows]).withColumn("n_chars", F.lit(0).cast("bigint")), None).collect()
     assert {(r.doc_id, r.text, r.n_chars) for r in out} == {(i, want[i, t][2], len(want[i, t][2])) for i, t in rows} and len(out) == len(rows)
     assert sum("passage number" in x for r in out for x in r.text.split("\n")) == len(shared)
+
+
+def test_nearest_of_many_collinear_vectors(spark):
+    rng = np.random.default_rng(4)
+    base, other = rng.normal(size=8).astype(np.float32), rng.normal(size=(200, 8)).astype(np.float32)
+    ids = rng.permutation(100).tolist()
+    rows = [(ids[i], (base * np.float32(2.0 ** (i - 50))).tolist()) for i in range(100)] + [(1000 + i, x.tolist()) for i, x in enumerate(other)]
+    d = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = collections.defaultdict(list)
+    for shard_rows in (1000, 90):
+        got.clear()
+        for r in nearest.nearest(d, d.where("vec_id in (0, 57, 99)"), k=5, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert got == {0: [1, 2, 3, 4, 5], 57: [0, 1, 2, 3, 4], 99: [0, 1, 2, 3, 4]}
