@@ -7,10 +7,6 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A broadcast side may have this many narrow rows (tens of MB); beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
@@ -21,14 +17,61 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """A count proves that ``df`` has at most so many rows. It should be stored: the join reads it again."""
-    return df.limit(rows + 1).count() <= rows
+def positional(docs: DataFrame) -> DataFrame:
+    """docs with columns _c0, _c1, ...: what an operator adds can't clash, whatever docs' names are."""
+    return docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+
+
+def named(df: DataFrame, names: list[str], added: dict[str, Column]) -> DataFrame:
+    """A positional frame under its own names again, with added columns; one of the same name is replaced."""
+    return df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names) if n not in added], *[c.alias(n) for n, c in added.items()])
+
+
+def stand_ins(docs: DataFrame, *cols: str) -> list[Column]:
+    """The columns of ``positional(docs)`` that stand for cols."""
+    return [F.col(f"_c{docs.columns.index(c)}") for c in cols]
+
+
+#: A membership filter has at most so many 64-bit words: 2^26 bits, a broadcast of some 50 MB at the most.
+FILTER_WORDS = 1 << 20
+
+
+def _word(h: Column, words: int) -> Column:
+    return F.pmod(F.shiftright(h, 6), F.lit(words))
+
+
+def _bit(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def membership(hashes: DataFrame, col: str = "_h", words: int = FILTER_WORDS) -> DataFrame:
+    """Hashes as a filter (_word, _bits) of at most ``words`` rows, however many hashes there are."""
+    h = F.col(col)
+    return hashes.groupBy(_word(h, words).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({col} & 63 as int))")).alias("_bits"))
+
+
+def may_hold(rows: DataFrame, filter_: DataFrame, h: Column, flag: str = "_may", words: int = FILTER_WORDS) -> DataFrame:
+    """rows + flag: false if h is surely none of the filter's hashes; true for all of them and, once they are
+    many, for some others too. The filter's size is bounded by construction, so it is broadcast; rows stay
+    where they are."""
+    f = filter_.select(F.col("_word").alias("_fw"), F.col("_bits").alias("_fb"))
+    out = rows.withColumn("_fh", h).join(F.broadcast(f), _word(F.col("_fh"), words) == F.col("_fw"), "left")
+    return out.withColumn(flag, F.coalesce(F.getbit("_fb", _bit(F.col("_fh"))) == 1, F.lit(False))).drop("_fh", "_fw", "_fb")
+
+
+#: A key with more than this share of the rows is hot; so fewer than 1024 keys are.
+HOT_SHARE = 1024
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS, otherwise: str = "merge") -> DataFrame:
-    """``df`` marked for broadcast if it fits, else for a shuffled join."""
-    return F.broadcast(df) if fits(df, rows) else df.hint(otherwise)
+def split_join(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with per_key, which has one row for each key and says in n how many of the ``total`` rows
+    have it. Hot keys, fewer than HOT_SHARE by arithmetic, are broadcast, so that their rows stay where they
+    are; the others are shuffled, and none of them makes a task large."""
+    least = total / HOT_SHARE
+    hot, cold = per_key.where(F.col(n) > least), per_key.where(F.col(n) <= least)
+    a = rows.join(F.broadcast(hot), key)
+    b = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key, how)
+    return a.unionByName(b)
 
 
 def trimmed(run):

@@ -10,20 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelore.llm.common import split_join
 from pagelore.runtime import stored
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     """links (a, b) -> each neighbour of a node linked to the least of the node and its neighbours;
-    large: the neighbours greater than the node, small: those smaller, and the node itself."""
+    large: the neighbours greater than the node, small: those smaller, and the node itself. total: a bound
+    of twice their number; the few nodes with a great share of the links are joined by broadcast."""
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if large:
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = both.where("b > a").join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.least("a", "m").alias("m"))
+        out = split_join(both.where("b > a"), low, ["a"], "n", total).select(F.col("b").alias("x"), F.col("m").alias("y"))
     else:
         down = both.where("b < a")
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        out = down.join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).union(low.select(F.col("a").alias("x"), F.col("m").alias("y")))
+        low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        out = split_join(down, low, ["a"], "n", total).select(F.col("b").alias("x"), F.col("m").alias("y")).union(low.select(F.col("a").alias("x"), F.col("m").alias("y")))
     return out.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
@@ -43,5 +45,5 @@ def components(links: DataFrame, max_rounds: int = 50, at_most: int | None = Non
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = (now.n, now.h)
         # A step makes at most two links of one.
-        links = stored(_star(_star(links, True), False).coalesce(1 + 4 * now.n // FILE_ROWS), "links")
+        links = stored(_star(_star(links, True, 2 * now.n), False, 2 * now.n).coalesce(1 + 4 * now.n // FILE_ROWS), "links")
     raise RuntimeError("links did not settle")

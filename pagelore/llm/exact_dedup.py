@@ -3,7 +3,10 @@
 Each step groups only what survived the one before: rows alone in their length class never have
 their prefix hashed, rows alone in their (length, prefix) class never have their full text hashed.
 Groups are counted with map-side partial aggregation, so a group of copies that holds a third of all
-rows costs one partial row per task. Only narrow rows are shuffled; texts never are. Native only.
+rows costs one partial row per task. What is open after a step goes to the rows as a membership filter of
+bounded size, so there is one plan at every size and texts are never shuffled: a filter that is full lets
+unique rows through, which the next step finds alone. Only ids and full hashes of survivors are shuffled,
+those of large groups not even then. Native only.
 """
 
 from __future__ import annotations
@@ -11,48 +14,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import BROADCAST_ROWS, ascii_lower, fits
+from pagelore.llm.common import FILTER_WORDS, ascii_lower, may_hold, membership, split_join
 from pagelore.runtime import stored, table
 
 PREFIX_CHARS = 128
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), prefix_chars: int = PREFIX_CHARS, filter_words: int = FILTER_WORDS) -> DataFrame:
     """One row per input row: ``id_col``, the ``carry`` columns, keep_id, group_size, kept, full_hash.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
     row with the largest id stays (a null id is smaller than any other); rows that repeat the kept
     id are one document and stay with it. full_hash (SHA-256 of the normalised text) is null for
     rows that an earlier step proved unique. An empty table gives an empty result. Other columns of
-    ``docs``, whatever their names, are not read unless carried. Tables of up to broadcast_rows keys
-    are broadcast; beyond, hashes are shuffled, still without texts, and full hashes are taken of all.
+    ``docs``, whatever their names, are not read unless carried. Ids may be of any type that has an order.
+    filter_words bounds each of the two broadcast filters, in words of 64 bits.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)], text.alias("_text"), F.octet_length(text).alias("_len"))
-    prefix = F.xxhash64(ascii_lower(F.substring("_text", 1, prefix_chars)))
-
+    at = docs.columns.index
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     carried = [f"_carry{i}" for i in range(len(carry))]
-    full = F.sha2(ascii_lower("_text").cast("binary"), 256)
+    text = F.coalesce(F.col(f"_c{at(text_col)}"), F.lit(""))
+    rows = rows.select(F.col(f"_c{at(id_col)}").alias("_id"), *[F.col(f"_c{at(c)}").alias(n) for n, c in zip(carried, carry, strict=True)], text.alias("_text"), F.octet_length(text).alias("_len"))
+    of_length, of_prefix = F.xxhash64("_len"), F.xxhash64("_len", "_prefix")
+    prefix, full = F.xxhash64(ascii_lower(F.substring("_text", 1, prefix_chars))), F.sha2(ascii_lower("_text").cast("binary"), 256)
+    several = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1")
 
-    lengths = stored(rows.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len"), "lengths")
-    if fits(lengths, broadcast_rows):  # the prefix is hashed behind the join, of rows that are left
-        keyed = rows.select("_len", "_text").join(F.broadcast(lengths), "_len", "left_semi").select("_len", prefix.alias("_prefix"))
-    else:  # a shuffled join takes hashes, not texts
-        keyed = rows.select("_len", prefix.alias("_prefix")).join(lengths, "_len", "left_semi")
-    prefixes = stored(keyed.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_prefix", F.lit(True).alias("_open")), "prefixes")
-    rows = rows.withColumn("_prefix", prefix)
-    if fits(prefixes, broadcast_rows):  # so is the full text
-        seen = rows.join(F.broadcast(prefixes), ["_len", "_prefix"], "left").select("_id", *carried, F.when(F.col("_open"), full).alias("_full"))
-    else:
-        seen = rows.select("_id", *carried, "_len", "_prefix", full.alias("_all")).join(prefixes, ["_len", "_prefix"], "left").select("_id", *carried, F.when(F.col("_open"), F.col("_all")).alias("_full"))
-    narrow = stored(seen, "hashes")
+    lengths = stored(membership(several(rows, "_len").select(of_length.alias("_h")), words=filter_words), "lengths")
+    keyed = may_hold(rows.select("_len", "_text"), lengths, of_length, words=filter_words).where("_may").select("_len", prefix.alias("_prefix"))
+    prefixes = stored(membership(several(keyed, "_len", "_prefix").select(of_prefix.alias("_h")), words=filter_words), "prefixes")
+    left = may_hold(may_hold(rows, lengths, of_length, "_same_length", filter_words).withColumn("_prefix", F.when(F.col("_same_length"), prefix)), prefixes, of_prefix, words=filter_words)
+    narrow = stored(left.select("_id", *carried, F.when(F.col("_same_length") & F.col("_may"), full).alias("_full")), "hashes")
 
-    groups = stored(narrow.where("_full is not null").groupBy("_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")).where("_size > 1"), "groups")
-    out = narrow.join(F.broadcast(groups) if fits(groups, broadcast_rows) else groups, "_full", "left")
-    keep = F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
+    open_ = narrow.where("_full is not null")
+    groups = stored(open_.groupBy("_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")), "groups")
+    total = groups.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    alone = narrow.where("_full is null").select("*", F.col("_id").alias("_keep"), F.lit(1).cast("bigint").alias("_size"))
+    out = split_join(open_, groups, ["_full"], "_size", total).unionByName(alone)
     return out.select(
-        F.col("_id").alias(id_col), *[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)],
-        keep.alias("keep_id"), F.coalesce("_size", F.lit(1).cast("bigint")).alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), F.col("_full").alias("full_hash"),
+        F.col("_id").alias(id_col), *[F.col(n).alias(c) for n, c in zip(carried, carry, strict=True)],
+        F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), F.col("_full").alias("full_hash"),
     )
 
 

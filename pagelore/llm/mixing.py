@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import sized
+from pagelore.llm.common import positional, split_join
 from pagelore.runtime import stored, table
 
 WEIGHTS = (3, 1, 2)
@@ -40,7 +40,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     s = s.withColumn("_level", (share * F.col("_all") - F.coalesce(F.sum(cap * F.col("source_size")).over(full), F.lit(0))) / (F.col("_allw") - F.coalesce(F.sum("_w").over(full), F.lit(0))))
     s = s.withColumn("_turn", F.row_number().over(Window.orderBy(F.col("_at"), F.col("source").asc_nulls_last())))
     s = s.withColumn("_level", F.min_by("_level", F.when(F.col("_level") <= F.col("_at"), F.col("_turn"))).over(total))
-    return s.select("source", "source_size", F.least(cap * F.col("source_size").cast("double"), F.col("_w") * F.col("_level")).alias("target"))
+    more = [c for c in sizes.columns if c not in ("source", "source_size")]
+    return s.select("source", "source_size", *more, F.least(cap * F.col("source_size").cast("double"), F.col("_w") * F.col("_level")).alias("target"))
 
 
 def _names(df: DataFrame) -> DataFrame:
@@ -48,27 +49,31 @@ def _names(df: DataFrame) -> DataFrame:
     return df.withColumn("_null", F.col("source").isNull()).withColumn("_src", F.coalesce("source", F.lit(""))).drop("source")
 
 
-def _hash(id_col: str):
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+def _hash(id_, text):
+    """Of id and text, so that rows that share an id, or have none, are not one block."""
+    key = F.concat_ws("\n", F.coalesce(id_.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
 def mixing_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """rows (source, size, _h), stored -> one row per source: source_size, target, the number of whole
-    passes, the rest, and the hash up to which documents are taken once more (null: all, if there is a rest)."""
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    passes, the rest, the hash up to which documents are taken once more (null: all, if there is a rest) and
+    the number of rows. A source's histogram is at most 4096 rows, rows themselves are joined by split_join."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     targets = stored(source_targets(sizes, weights, share, cap), "targets")
+    total = targets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("bigint")
     targets = targets.withColumn("_k", passes).withColumn("_rest", F.col("target") - F.col("_k") * F.col("source_size"))
-    rows, open_ = _names(rows), _names(targets.where("_rest > 0")).select("_null", "_src", "_rest", F.lit(0).cast("bigint").alias("_low"), F.lit(0).cast("bigint").alias("_before"))
+    rows, open_ = _names(rows), _names(targets.where("_rest > 0")).select("_null", "_src", "_n", "_rest", F.lit(0).cast("bigint").alias("_low"), F.lit(0).cast("bigint").alias("_before"))
     # Each step: in the open bucket of each source, the sub-bucket in which the budget ends.
     for shift in (HASH_BITS - STEP_BITS, HASH_BITS - 2 * STEP_BITS, 0):
         width = F.lit(1 << shift).cast("bigint")
-        inside = rows if shift == HASH_BITS - STEP_BITS else rows.join(sized(open_.select("_null", "_src", F.col("_low").alias("_from"), (F.col("_low") + F.lit(1 << above)).alias("_to"))), ["_null", "_src"]).where("_h >= _from and _h < _to")
+        inside = rows if shift == HASH_BITS - STEP_BITS else split_join(rows, open_.select("_null", "_src", "_n", F.col("_low").alias("_from"), (F.col("_low") + F.lit(1 << above)).alias("_to")), ["_null", "_src"], "_n", total).where("_h >= _from and _h < _to")
         hist = inside.groupBy("_null", "_src", (F.shiftright("_h", shift) * width).alias("_b")).agg(F.sum("size").alias("_s"))
         w = Window.partitionBy("_null", "_src").orderBy("_b")
-        run = hist.join(sized(open_), ["_null", "_src"]).withColumn("_upto", F.col("_before") + F.sum("_s").over(w))
+        run = hist.join(open_, ["_null", "_src"]).withColumn("_upto", F.col("_before") + F.sum("_s").over(w))
         if shift:  # the first bucket whose end passes the rest; if none does, there is no rest to speak of
-            end = run.where("_upto > _rest").groupBy("_null", "_src").agg(F.min_by(F.struct("_rest", F.col("_b").alias("_low"), (F.col("_upto") - F.col("_s")).alias("_before")), "_b").alias("_x"))
+            end = run.where("_upto > _rest").groupBy("_null", "_src").agg(F.min_by(F.struct("_n", "_rest", F.col("_b").alias("_low"), (F.col("_upto") - F.col("_s")).alias("_before")), "_b").alias("_x"))
             open_ = stored(end.select("_null", "_src", "_x.*"), "boundary")
         else:  # exact hashes: the last one that is taken, at least half of it inside the rest
             end = run.groupBy("_null", "_src").agg(F.first("_low").alias("_low"), F.max(F.when(2 * F.col("_upto") - F.col("_s") <= 2 * F.col("_rest"), F.col("_b"))).alias("_last"))
@@ -80,7 +85,8 @@ def mixing_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
 def _take(rows: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
     """rows (_null, _src, _h, ...) + the plan of their source and copies."""
     copies = F.least(F.lit(cap).cast("bigint"), F.col("_k") + F.when((F.col("_rest") > 0) & (F.col("_cut").isNull() | (F.col("_h") <= F.col("_cut"))), 1).otherwise(0))
-    return rows.join(sized(plan), ["_null", "_src"]).withColumn("copies", copies)
+    total = plan.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return split_join(rows, plan, ["_null", "_src"], "_n", total).withColumn("copies", copies)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -88,22 +94,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A source whose target is k whole passes and a rest takes every document k times; the rest goes
     to the documents of least hash: those up to the threshold whose running sum is nearest to it.
-    The hash is of the id (md5, first 15 digits), so reruns agree and rows with one id go together.
-    Null text has size 0; null is a source of its own, as is the empty name; a null id hashes as ''.
-    Copies never exceed ``cap``. An empty table gives an empty result.
+    The hash is of id and text (md5, first 15 digits), so reruns agree and only rows that repeat both go
+    together. Null text has size 0; null is a source of its own, as is the empty name; a null id hashes as ''.
+    Ids may be of any type. Copies never exceed ``cap``. Other columns are not read, whatever their names. An
+    empty table gives an empty result.
     """
-    rows = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col).alias("_h")), "sized")
+    i, t, s = (docs.columns.index(c) for c in (id_col, text_col, source_col))
+    c = [F.col(f"_c{k}") for k in range(len(docs.columns))]
+    rows = stored(positional(docs).select(c[i].alias("_id"), c[s].alias("source"), word_count(c[t]).alias("size"), _hash(c[i], c[t]).alias("_h")), "sized")
     out = _take(_names(rows), mixing_plan(rows, weights, share, cap), cap)
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """The mix itself: docs with each row as often as ``mix`` says, the columns as they are. Texts
-    stay where they are: only the plan, a row per source, is joined to them."""
-    rows = stored(docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), _hash(id_col).alias("_h")), "sized")
-    all_ = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source_col).alias("source"), _hash(id_col).alias("_h"))
+    stay where they are, those of sources with less than a thousandth of the rows excepted: the plan, a row
+    per source, is joined to them."""
+    i, t, s = (docs.columns.index(c) for c in (id_col, text_col, source_col))
+    c = [F.col(f"_c{k}") for k in range(len(docs.columns))]
+    rows = stored(positional(docs).select(c[s].alias("source"), word_count(c[t]).alias("size"), _hash(c[i], c[t]).alias("_h")), "sized")
+    all_ = positional(docs).select(F.struct(*c).alias("_row"), c[s].alias("source"), _hash(c[i], c[t]).alias("_h"))
     out = _take(_names(all_), mixing_plan(rows, weights, share, cap), cap)
-    return out.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    out = out.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    return out.toDF(*docs.columns)
 
 
 def op4_mix_sources(spark, sf_dir):
@@ -112,7 +125,7 @@ def op4_mix_sources(spark, sf_dir):
 
 SQL = """
 WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size,
-                      ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+                      ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS h FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM sizes),
 f AS (SELECT *, 2 * source_size / w AS full_at, sum(source_size) OVER () AS s_all, sum(w) OVER () AS w_all FROM w),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import sized, trimmed
+from pagelore.llm.common import split_join, trimmed
 from pagelore.llm.components import FILE_ROWS, components
 from pagelore.runtime import stored, table
 
@@ -86,7 +86,7 @@ def _variants(segments):
 
 
 def _local_links(fp: np.ndarray, radius: int):
-    """Links that join what lies within the radius, each to the first of its component; fp distinct."""
+    """Links of positions that join what lies within the radius, each to the first of its component."""
     n, todo = len(fp), np.ones(len(fp), bool)
     for i in range(n):
         if not todo[i]:
@@ -100,7 +100,7 @@ def _local_links(fp: np.ndarray, radius: int):
             todo[near] = False
             front += near.tolist()
             for j in near.tolist():
-                yield fp[i], fp[j]
+                yield i, j
 
 
 #: Buckets of up to so many members are searched together for any close pair.
@@ -123,16 +123,18 @@ def _close_buckets(keys: np.ndarray, fp: np.ndarray, start: np.ndarray, sizes: n
 
 
 def _bucket_links(radius: int, cap: int):
-    """Rows (key, fp) sorted by key -> links (key, a, b); of buckets above the cap their members, as (key, fp, null)."""
+    """Rows (key, fp, id) sorted by key, or (key, fp) whose id is fp -> links (key, a, b, null) of ids; of
+    buckets above the cap their members, as (key, id, null, fp)."""
 
     def run(batches):
-        keys, fps, over, over_key = np.zeros(0, np.int64), np.zeros(0, np.int64), False, None
+        none = np.zeros(0, np.int64)
+        keys, fps, ids, over, over_key = none, none, none, False, None
 
-        def batch(key, x, y):
-            y = pa.nulls(len(x), pa.int64()) if y is None else pa.array(y)
-            return pa.record_batch([pa.array(np.full(len(x), key, np.int64)), pa.array(x), y], names=["key", "a", "b"])
+        def batch(key, a, b=None, fp=None):
+            of = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x)
+            return pa.record_batch([pa.array(np.full(len(a), key, np.int64)), pa.array(a), of(b), of(fp)], names=["key", "a", "b", "fp"])
 
-        def done(keys, fps):
+        def done(keys, fps, ids):
             if not len(keys):
                 return
             start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -142,45 +144,46 @@ def _bucket_links(radius: int, cap: int):
             for k in _close_buckets(keys, unsigned, start, sizes, radius).tolist():
                 s, n = start[k], sizes[k]
                 if n > cap:
-                    yield batch(keys[s], fps[s : s + n], None)
+                    yield batch(keys[s], ids[s : s + n], fp=fps[s : s + n])
                 else:
-                    links += _local_links(unsigned[s : s + n], radius)
+                    links += [(s + i, s + j) for i, j in _local_links(unsigned[s : s + n], radius)]
             if links:
-                m = np.array(links, dtype=np.uint64).view(np.int64)
+                m = ids[np.array(links)]
                 yield batch(0, m[:, 0].copy(), m[:, 1].copy())
 
         for r in batches:
             k, f = r.column(0).to_numpy(), r.column(1).to_numpy()
+            i = r.column(2).to_numpy() if r.num_columns > 2 else f
             if over:  # the bucket that is too large goes on
                 n = int(np.argmax(k != over_key)) if (k != over_key).any() else len(k)
                 if n:
-                    yield batch(over_key, f[:n], None)
-                k, f = k[n:], f[n:]
+                    yield batch(over_key, i[:n], fp=f[:n])
+                k, f, i = k[n:], f[n:], i[n:]
                 if not len(k):
                     continue
                 over = False
             if not len(k):
                 continue
-            keys, fps = np.concatenate([keys, k]), np.concatenate([fps, f])
+            keys, fps, ids = np.concatenate([keys, k]), np.concatenate([fps, f]), np.concatenate([ids, i])
             cut = int(np.searchsorted(keys, keys[-1]))
-            yield from done(keys[:cut], fps[:cut])
-            keys, fps = keys[cut:], fps[cut:]
+            yield from done(keys[:cut], fps[:cut], ids[:cut])
+            keys, fps, ids = keys[cut:], fps[cut:], ids[cut:]
             if len(keys) > cap:
-                yield batch(keys[-1], fps, None)
-                over, over_key, keys, fps = True, keys[-1], keys[:0], fps[:0]
-        yield from done(keys, fps)
+                yield batch(keys[-1], ids, fp=fps)
+                over, over_key, keys, fps, ids = True, keys[-1], none, none, none
+        yield from done(keys, fps, ids)
 
     return run
 
 
-LINKS = "key bigint, a bigint, b bigint"
+LINKS = "key bigint, a bigint, b bigint, fp bigint"
 
 
 def _two_bit_links(crowded: DataFrame, radius: int) -> DataFrame:
     """Every pair within the radius agrees on all but some ``radius`` bits: equal there, equal for good."""
     masks = [sum(1 << i for i in c) for c in combinations(range(BITS), radius)]
     table_ = F.array(*[F.lit(~m if m < 2**63 else ~m + 2**64) for m in masks])
-    keyed = crowded.select(F.col("a").alias("fp")).distinct().select("fp", F.posexplode(table_).alias("v", "mask")).select("v", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
+    keyed = crowded.select("fp").distinct().select("fp", F.posexplode(table_).alias("v", "mask")).select("v", F.col("fp").bitwiseAND(F.col("mask")).alias("k"), "fp")
     least = keyed.groupBy("v", "k").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m <> x")
     return keyed.join(least.drop("x"), ["v", "k"]).where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b")).distinct()
 
@@ -188,16 +191,21 @@ def _two_bit_links(crowded: DataFrame, radius: int) -> DataFrame:
 def _block_links(crowded: DataFrame, radius: int, cap: int) -> DataFrame:
     """Members of large buckets in blocks of about half the cap: each pair of blocks of a bucket is one group."""
     n = crowded.groupBy("key").agg(F.ceil(2 * F.count("*") / cap).cast("bigint").alias("blocks"))
-    x = crowded.select("key", F.col("a").alias("fp")).join(n, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    x = x.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    x = crowded.select("key", "fp", F.col("a").alias("id")).join(n, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    x = x.select("key", "fp", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     # Two groups whose hashes meet are verified together: more comparisons, the same links.
-    x = x.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    x = x.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "id")
     return x.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(trimmed(_bucket_links(radius, 1 << 40)), LINKS).select("a", "b")
 
 
+#: Rows of an index that a task makes out of its fingerprints, about: 64 MB of shuffle output.
+TASK_ROWS = 1 << 22
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket_cap: int = 4096) -> DataFrame:
     """distinct (fp) -> links (a, b) whose components are those of all pairs within the radius."""
-    rows = distinct.select("fp").mapInArrow(_variants(segments_for(radius)), "key bigint, fp bigint")
+    some = distinct.select("fp").repartition(1 + distinct.count() * BITS // TASK_ROWS)
+    rows = some.mapInArrow(_variants(segments_for(radius)), "key bigint, fp bigint")
     found = stored(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(trimmed(_bucket_links(radius, bucket_cap)), LINKS), "found")
     links, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
     if crowded.isEmpty():
@@ -211,26 +219,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are linked if their fingerprints differ in at most ``radius`` bits; equal fingerprints, those
     of texts without words (null, empty or white space: 0) included, differ in none. Null ids take part
     and get a component; they never name one unless all ids of it are null. Repeated rows give
-    repeated rows. An empty table gives an empty result.
+    repeated rows. Ids are whole numbers: others fail. Only the two columns are read, whatever the names of
+    the others. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col, text_col, words), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     links = stored(fingerprint_links(distinct, radius, bucket_cap), "links")
     n = links.count()
     roots = components(links, at_most=n)
     roots = stored(roots.select(F.col("node").alias("fp"), "root").coalesce(1 + 2 * n // FILE_ROWS), "roots")
     named = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component"))
-    classes = distinct.join(roots.join(named, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return prints.join(classes, "fp").select("id", "fp", "component")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
-    """docs without near duplicates: of each class the row with the smallest id stays. Rows of one id
-    stay or go together; rows of the null id stay if no other id is in their class. The ids that go are
-    broadcast if they fit; beyond, rows are shuffled once and not sorted."""
-    classes = near_duplicates(docs, id_col, text_col, **rule)
-    gone = stored(classes.where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct(), "gone")
-    return docs.join(sized(gone, otherwise="shuffle_hash"), F.col(id_col).cast("bigint").eqNullSafe(gone["id"]), "left_anti")
+    classes = distinct.join(roots.join(named, "root").select("fp", "component"), "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component"))
+    return split_join(prints, stored(classes, "classes"), ["fp"], "n", total).select("id", "fp", "component")
 
 
 def op5_simhash_dedup(spark, sf_dir):

@@ -7,8 +7,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from pagelore.llm import bpe, mixing, simhash
-from tests.llm.test_small_tables import brute_lines, link_classes
+from pagelore.llm import bpe, mixing
+from tests.llm.test_similar import brute
+from tests.llm.test_small_tables import brute_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,14 +45,13 @@ def test_lines(stages):
     want = brute_lines(before, 2, 20, True)
     for r in stages[2].collect():
         i, t = next((i, t) for i, t in before if i == r.doc_id)
-        n, dropped, kept = want[i, t]
-        assert r.text == (kept if dropped <= 0.5 * n else t) and r.n_chars == len(r.text)
+        assert r.text == want[i, t][2] and r.n_chars == len(r.text)
     assert stages[2].count() == len(before)
 
 
 def test_one_of_each_class(stages):
     r = stages[2].collect()
-    classes = link_classes([x.doc_id for x in r], [simhash.fingerprint(x.text, 3) for x in r], 5)
+    classes = brute([(x.doc_id, x.text) for x in r])
     assert rows(stages[3]) == collections.Counter(tuple(x) for x, c in zip(r, classes, strict=True) if x.doc_id == c)
 
 
