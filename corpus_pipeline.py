@@ -6,15 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pagelore.llm import bpe, line_dedup, mixing, simhash, toxicity
+from pagelore.llm import bpe, line_dedup, mixing, similar, toxicity
 from pagelore.runtime import shared_dir, ship, table
 
 #: Documents at or above this score go.
 TOXIC_FROM = 0.5
 #: Lines of 20 characters or more stay in the first of the documents that share them, and only there.
 LINES = {"min_docs": 2, "min_chars": 20, "keep_first": True}
-#: Fingerprints of three-word shingles, linked at five bits or fewer: three segments suffice.
-NEAR = {"words": 3, "radius": 5}
+#: Near duplicates: five-word shingles, a Jaccard similarity of 0.8 or more by the exact check.
+NEAR = {"words": 5, "least": 0.8}
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -34,7 +34,7 @@ def drop_repeated_lines(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """One document of each class of near duplicates, that of the smallest id."""
     ship(spark)
-    return simhash.one_of_each(docs, **NEAR)
+    return similar.one_of_each(docs, **NEAR)
 
 
 def mix_sources(spark, docs, sf_dir):
