@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pagelore.llm.common import trimmed
+from pagelore.llm.common import named, positional, shipped_model, trimmed
 from pagelore.llm.ngrams import Remembered
 from pagelore.runtime import table
 
@@ -51,6 +52,8 @@ class Bpe:
         chars = byte_chars()
         raw = lambda s: bytes(chars[c] for c in s)
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take in what surrounds them are not known here")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.vocab = vocab
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
@@ -206,72 +209,69 @@ class Bpe:
         return out.decode("utf-8", errors="replace")
 
 
-_LOADED: dict[str, Bpe] = {}
+def from_bytes(raw: bytes) -> Bpe:
+    return Bpe(json.loads(raw))
 
 
 def load(path: str) -> Bpe:
-    """The tokenizer in a file of the tokenizers library, once per worker."""
-    if path not in _LOADED:
-        with open(path, encoding="utf-8") as f:
-            _LOADED[path] = Bpe(json.load(f))
-    return _LOADED[path]
+    """The tokenizer in a file of the tokenizers library."""
+    with open(path, "rb") as f:
+        return from_bytes(f.read())
 
 
-def _with(docs: DataFrame, text_col: str, added: dict[str, str], each) -> DataFrame:
-    """docs + columns that each(text) makes of the text; the batches are cut so that long texts fit."""
-    names = list(docs.columns)
-    src = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
-    from pyspark.sql.types import StructType
-
+def _with(docs: DataFrame, path: str, text_col: str, added: dict[str, str], each) -> DataFrame:
+    """docs + columns that each(tokenizer, text) makes of the text; columns of the same names are replaced."""
+    src, at = positional(docs), docs.columns.index(text_col)
+    tokenizer = shipped_model(docs.sparkSession, path, from_bytes)
     schema = StructType([*src.schema.fields, *StructType.fromDDL(", ".join(f"`_a{i}` {t}" for i, t in enumerate(added.values()))).fields])
-    at = names.index(text_col)
 
     def run(batches):
+        tok = tokenizer()
         for b in batches:
-            rows = [each(t) for t in b.column(at).to_pylist()]
+            rows = [each(tok, t) for t in b.column(at).to_pylist()]
             cols = [pa.array([r[k] for r in rows], {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}[t]) for k, t in enumerate(added.values())]
             yield pa.record_batch([*b.columns, *cols], schema=pa.schema([*b.schema, *[(f"_a{i}", c.type) for i, c in enumerate(cols)]]))
 
-    out = src.mapInArrow(trimmed(run), schema)
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], *[F.col(f"_a{i}").alias(c) for i, c in enumerate(added)])
+    return named(src.mapInArrow(trimmed(run), schema), docs.columns, {c: F.col(f"_a{i}") for i, c in enumerate(added)})
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """docs + ids (binary, little-endian unsigned 32-bit) and n_tokens. Null is encoded as the empty
-    text, which has no token; every row stays. docs must have no columns of these names."""
+    """docs + ids (binary, little-endian unsigned 32-bit) and n_tokens; columns of these names are replaced. Null
+    is encoded as the empty text, which has no token; a text is encoded whole, however long; every row stays, repeated
+    ones as often as they are there. An empty table gives an empty one."""
 
-    def each(t):
-        ids = load(path).encode(t or "")
+    def each(tok, t):
+        ids = tok.encode(t or "")
         return ids, len(ids) // 4
 
-    return _with(docs, text_col, {"ids": "binary", "n_tokens": "bigint"}, each)
+    return _with(docs, path, text_col, {"ids": "binary", "n_tokens": "bigint"}, each)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """encoded + decoded: the text of the ids; null ids give the empty text."""
-    return _with(encoded, ids_col, {"decoded": "string"}, lambda ids: (load(path).decode(ids or b""),))
+    return _with(encoded, path, ids_col, {"decoded": "string"}, lambda tok, ids: (tok.decode(ids or b""),))
 
 
 def encode_checked(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """encode + round_trip: whether the ids decode to the text again. One worker does both."""
+    """encode + round_trip: whether the ids decode to the text again (null: to the empty one). One worker does
+    both; rows and columns as for encode."""
 
-    def each(t):
-        tok = load(path)
+    def each(tok, t):
         ids = tok.encode(t or "")
         return ids, len(ids) // 4, tok.decode(ids) == (t or "")
 
-    return _with(docs, text_col, {"ids": "binary", "n_tokens": "bigint", "round_trip": "boolean"}, each)
+    return _with(docs, path, text_col, {"ids": "binary", "n_tokens": "bigint", "round_trip": "boolean"}, each)
 
 
 def round_trip(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """encode and decode of each row, digested in the same pass: docs + n_tokens, ids_sha256, decoded_sha256."""
+    """encode and decode of each row, digested in the same pass: docs + n_tokens, ids_sha256, decoded_sha256. Null and
+    the empty text have no tokens and the digests of nothing; rows and columns as for encode."""
 
-    def each(t):
-        tok = load(path)
+    def each(tok, t):
         ids = tok.encode(t or "")
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(tok.decode(ids).encode()).hexdigest()
 
-    return _with(docs, text_col, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, each)
+    return _with(docs, path, text_col, {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}, each)
 
 
 def default_path() -> str:

@@ -61,12 +61,17 @@ def may_hold(rows: DataFrame, filter_: DataFrame, h: Column, flag: str = "_may",
 
 #: A key with more than this share of the rows is hot; so fewer than 1024 keys are.
 HOT_SHARE = 1024
+#: So many narrow rows, some tens of MB, are no burden for one task, whatever their keys.
+SMALL_ROWS = 1_000_000
 
 
-def split_join(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, total: int, how: str = "inner", small: int = 0) -> DataFrame:
     """rows joined with per_key, which has one row for each key and says in n how many of the ``total`` rows
     have it. Hot keys, fewer than HOT_SHARE by arithmetic, are broadcast, so that their rows stay where they
-    are; the others are shuffled, and none of them makes a task large."""
+    are; the others are shuffled, and none of them makes a task large. Where all rows together are at most
+    ``small``, a plain join does."""
+    if total <= small:
+        return rows.join(per_key, key, how)
     least = total / HOT_SHARE
     hot, cold = per_key.where(F.col(n) > least), per_key.where(F.col(n) <= least)
     a = rows.join(F.broadcast(hot), key)
@@ -74,6 +79,41 @@ def split_join(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, tota
     return a.unionByName(b)
 
 
+def shipped_model(spark, path: str, build):
+    """A function that gives executors build(the file's bytes), once per worker. The file is read here: on a
+    cluster its path need not exist elsewhere."""
+    import hashlib
+
+    with open(path, "rb") as f:
+        raw = f.read()
+    key, shared = (build.__module__, hashlib.sha256(raw).hexdigest()), spark.sparkContext.broadcast(raw)  # a vocabulary file, a few MB
+
+    def get():
+        if key not in _BUILT:
+            _BUILT[key] = build(shared.value)
+        return _BUILT[key]
+
+    return get
+
+
+_BUILT: dict = {}
+
+
+def give_back() -> None:
+    """Memory that this process no longer uses goes back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps its own counsel
+
+
 def trimmed(run):
     """run, an Arrow mapping, whose worker gives memory that it no longer uses back when the task ends:
     workers wait for their next task with what they hold."""
@@ -82,16 +122,6 @@ def trimmed(run):
         try:
             yield from run(batches)
         finally:
-            import ctypes
-            import gc
-
-            import pyarrow as pa
-
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library: it keeps its own counsel
+            give_back()
 
     return wrapped

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import split_join
+from pagelore.llm.common import SMALL_ROWS, split_join
 from pagelore.runtime import stored
 
 
@@ -21,11 +21,11 @@ def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     if large:
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", "n", F.least("a", "m").alias("m"))
-        out = split_join(both.where("b > a"), low, ["a"], "n", total).select(F.col("b").alias("x"), F.col("m").alias("y"))
+        out = split_join(both.where("b > a"), low, ["a"], "n", total, small=SMALL_ROWS).select(F.col("b").alias("x"), F.col("m").alias("y"))
     else:
         down = both.where("b < a")
         low = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        out = split_join(down, low, ["a"], "n", total).select(F.col("b").alias("x"), F.col("m").alias("y")).union(low.select(F.col("a").alias("x"), F.col("m").alias("y")))
+        out = split_join(down, low, ["a"], "n", total, small=SMALL_ROWS).select(F.col("b").alias("x"), F.col("m").alias("y")).union(low.select(F.col("a").alias("x"), F.col("m").alias("y")))
     return out.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import held_out, trimmed
+from pagelore.llm.common import give_back, held_out, trimmed
 from pagelore.llm.ngrams import WordRows, in_groups, ngram_buckets, per_word_sums, words_of
 from pagelore.runtime import stored, table
 
 BITS, SIZES = 15, range(1, 5)
 #: The classifier is fitted on at most this many labelled rows of each language, in hash order.
-SAMPLE_ROWS, LANGUAGES = 600, 200
+SAMPLE_ROWS = 600
 TRAIN = {"alpha": 4.0, "beta": 1.0, "l1": 0.02, "l2": 0.001, "epochs": 6, "scale": 30.0}
 UNDETERMINED = "und"
 
@@ -174,10 +174,10 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, **train) -> Model:
     """A model of rows of docs with a language: all give document frequencies, at most sample_rows of
-    each language (LANGUAGES at most, by frequency) the weights. One in six sample rows calibrates."""
+    each language the weights, every language there is being learned. One in six sample rows calibrates."""
     setup = TRAIN | train
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs").orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "langs").orderBy("lang").collect()  # a row per language
     if not counts:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
     langs = sorted(r.lang for r in counts)
@@ -195,12 +195,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     cal = np.arange(len(y)) % 6 == 5
     w, bias = train_ftrl([v for v, c in zip(x, cal, strict=True) if not c], y[~cal], len(langs), **{k: v for k, v in setup.items() if k != "scale"})
     logits = np.array([v @ w[at] + bias for at, v in x]).reshape(len(x), len(langs))
-    return Model(langs, w * idf[:, None] * setup["scale"], bias, fit_temperature(logits[cal], y[cal]))
+    model = Model(langs, w * idf[:, None] * setup["scale"], bias, fit_temperature(logits[cal], y[cal]))
+    del got, texts, x
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of every row: a learned language and its calibrated probability, or
-    ``und`` and 0 for a null text, one without a letter, or a model that learned no language."""
+    ``und`` and 0 for a null text, one without a letter, or a model that learned no language. Only the two
+    columns are read, whatever the names of the others; ids are whole numbers, others fail. Repeated rows give
+    repeated rows, of two equally likely languages the first by name is given, an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS x languages doubles
 
     def run(batches):

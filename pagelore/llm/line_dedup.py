@@ -6,7 +6,8 @@ a line that a third of all documents share is spread over many partitions. The s
 checkpointed. A hash cut by a partition border is known by at most two rows a partition: its number
 of documents and its first partition are looked up for these border hashes alone. Pass 2 streams the
 sorted partitions, holding no more than one open run of too few documents, and emits the positions
-to drop. These become one zlib-compressed bitmap per document; texts are rewritten by joining bitmaps.
+to drop. These become one zlib-compressed bitmap per document; texts are rewritten by joining bitmaps, those
+of documents that lose no line are not moved.
 """
 
 from __future__ import annotations
@@ -17,19 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
-from pagelore.llm.common import trimmed
-from pagelore.runtime import cut, table
+from pagelore.llm.common import may_hold, membership, positional, split_join, trimmed
+from pagelore.runtime import cut, stored, table
 
 LINES = "h1 bigint, h2 bigint, doc bigint, th bigint, pos int, n_lines int"
-BITMAPS = "doc bigint, th bigint, n_lines int, n_dropped int, keep binary"
+BITMAPS = "doc bigint, th bigint, n_rows bigint, n_lines int, n_dropped int, keep binary"
 STRIP = b" \t\n\x0b\x0c\r"
 
 
-def _text_hash(raw: bytes) -> int:
-    import xxhash
-
-    return int.from_bytes(xxhash.xxh3_64_digest(raw), "little", signed=True)
+def _text_hash(text):
+    """Tells apart rows of one id with different texts."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _keys(raw: bytes, min_chars: int):
@@ -45,12 +46,11 @@ def _lines(min_chars: int):
         import xxhash
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out = [[] for _ in range(5)]
             digests = bytearray()
-            for doc, text in zip(ids, texts, strict=True):
+            for doc, th, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = (text or "").encode()
-                th, n = _text_hash(raw), raw.count(b"\n") + 1
+                n = raw.count(b"\n") + 1
                 for pos, key in _keys(raw, min_chars):
                     digests += xxhash.xxh3_128_digest(key)
                     for c, v in zip(out[1:], (doc, th, pos, n), strict=True):
@@ -129,26 +129,29 @@ def _stream(min_docs: int, keep_first: bool, border: dict):
 def _bitmaps(batches):
     for b in batches:
         keep, dropped = [], []
-        for n, pos in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for n, pos in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
             bits = np.ones(n, np.uint8)
             bits[pos] = 0
             keep.append(zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 6))
             dropped.append(len(pos))
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(dropped, pa.int32()), pa.array(keep, pa.binary())], names=["doc", "th", "n_lines", "n_dropped", "keep"])
+        yield pa.record_batch([*(b.column(i) for i in range(4)), pa.array(dropped, pa.int32()), pa.array(keep, pa.binary())], names=["doc", "th", "n_rows", "n_lines", "n_dropped", "keep"])
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 2, min_chars: int = 1, keep_first: bool = True) -> DataFrame:
-    """(doc, th, n_lines, n_dropped, keep) of each document that loses a line; the others keep all.
+    """(doc, th, n_rows, n_lines, n_dropped, keep) of each document that loses a line; the others keep all.
 
     A line's key is the line without [\\x20\\x09-\\x0D] at its ends, A-Z lower-cased. Keys of at least
     min_chars code points found in at least min_docs documents lose their lines; with keep_first the
     first of them, by document and position, stays. keep is a zlib-compressed little-endian bitmap of
     the lines that stay. th tells apart rows of one id with different texts; repeated rows share a
-    bitmap, and rows of one id, or of the null id, count as one document. A null text is one empty
-    line. Empty tables give no bitmaps.
+    bitmap (n_rows counts them), and rows of one id, or of the null id, count as one document. A null text is
+    one empty line. Ids are whole numbers: others fail. Other columns are not read, whatever their names.
+    Empty tables give no bitmaps.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).mapInArrow(trimmed(_lines(min_chars)), LINES)
+    i, t = (F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col))
+    rows = positional(docs).select(i.cast("bigint").alias("doc"), _text_hash(t).alias("th"), t.alias("text")).mapInArrow(trimmed(_lines(min_chars)), LINES)
     key = ["h1", "h2", "doc", "th", "pos"]
+    rows = stored(rows, "lines")  # the bounds of the ranges are sampled: lines would be hashed twice
     rows = cut(rows.repartitionByRange(*key).sortWithinPartitions(*key))
     ends = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b"))
     # Hashes at both sides of a border: at most one a border, so as many as partitions.
@@ -160,45 +163,50 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         of = rows.withColumn("part", F.spark_partition_id()).join(F.broadcast(keys), ["h1", "h2"]).groupBy("h1", "h2", "doc").agg(F.min("part").alias("part"))
         border = {(r.h1, r.h2): (r.n, r.part) for r in of.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("part").alias("part")).collect()}
     drops = rows.mapInArrow(trimmed(_stream(min_docs, keep_first, border)), "doc bigint, th bigint, pos int, n_lines int")
-    per_doc = drops.groupBy("doc", "th").agg(F.first("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("pos"))
-    return per_doc.select("doc", "th", "n_lines", "pos").mapInArrow(trimmed(_bitmaps), BITMAPS)
-
+    per_doc = drops.groupBy("doc", "th").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines"), F.sort_array(F.collect_set("pos")).alias("pos"))
+    return per_doc.select("doc", "th", F.ceil(F.col("n") / F.size("pos")).alias("n_rows"), "n_lines", "pos").mapInArrow(trimmed(_bitmaps), BITMAPS)
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs + _n_lines, _n_dropped, _kept: the text of the lines that stay, joined by \\n.
 
-    The bitmaps, small beside the texts, are the hashed side of the join; texts are not sorted.
-    """
-
-    def hashes(batches):
-        for b in batches:
-            yield pa.record_batch([*b.columns, pa.array([_text_hash((t or "").encode()) for t in b.column(b.schema.names.index("_text")).to_pylist()], pa.int64())], names=[*b.schema.names, "_th"])
+def _rewritten(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """positional(docs) + _n_lines, _n_dropped, _kept. Only documents that a membership filter of bounded size
+    takes for one with a bitmap meet the bitmaps; the others keep their text where it is."""
 
     def rewrite(batches):
         for b in batches:
-            text, keep, dropped = (b.column(b.schema.names.index(c)).to_pylist() for c in ("_text", "_keep", "_n_dropped"))
-            lines, kept = [], []
+            text, keep = (b.column(b.schema.names.index(c)).to_pylist() for c in ("_text", "_keep"))
+            kept = []
             for t, k in zip(text, keep, strict=True):
                 parts = (t or "").split("\n")
-                lines.append(len(parts))
                 if k is not None:
                     bits = np.unpackbits(np.frombuffer(zlib.decompress(k), np.uint8), count=len(parts), bitorder="little")
                     parts = [p for p, bit in zip(parts, bits.tolist(), strict=True) if bit]
                 kept.append("\n".join(parts))
-            cols = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n not in ("_text", "_keep", "_n_dropped")]
-            yield pa.record_batch([*cols, pa.array(lines, pa.int64()), pa.array([d or 0 for d in dropped], pa.int64()), pa.array(kept, pa.string())], schema=pa.schema([*[f for f in b.schema if f.name not in ("_text", "_keep", "_n_dropped")], ("_n_lines", pa.int64()), ("_n_dropped", pa.int64()), ("_kept", pa.string())]))
+            cols = [c for c, n in zip(b.columns, b.schema.names, strict=True) if n not in ("_text", "_keep")]
+            yield pa.record_batch([*cols, pa.array(kept, pa.string())], schema=pa.schema([*[f for f in b.schema if f.name not in ("_text", "_keep")], ("_kept", pa.string())]))
+
+    i, t = (F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col))
+    bitmaps = stored(bitmaps, "bitmaps")
+    own = lambda doc: [F.coalesce(doc, F.lit(0)).alias("_doc"), doc.isNull().alias("_null")]
+    hashed = lambda doc, th: F.xxhash64(doc, th)
+    n_lines = F.length(F.coalesce(t, F.lit(""))) - F.length(F.replace(F.coalesce(t, F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    rows = positional(docs).withColumn("_th", _text_hash(t)).withColumn("_n_lines", n_lines.cast("bigint"))
+    rows = may_hold(rows, membership(bitmaps.select(hashed(F.col("doc"), F.col("th")).alias("_h"))), hashed(i.cast("bigint"), F.col("_th")))
+    whole = rows.where(~F.col("_may")).withColumn("_n_dropped", F.lit(0).cast("bigint")).withColumn("_kept", F.coalesce(t, F.lit(""))).drop("_th", "_may")
+    total = bitmaps.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
+    per_key = bitmaps.select(*own(F.col("doc")), F.col("th").alias("_th"), "n_rows", F.col("keep").alias("_keep"), F.col("n_dropped").cast("bigint").alias("_n_dropped"))
+    some = rows.where("_may").select("*", *own(i.cast("bigint")), t.alias("_text"))
+    some = split_join(some, per_key, ["_doc", "_null", "_th"], "n_rows", total, "left")
+    some = some.select(*[f"_c{k}" for k in range(len(docs.columns))], "_n_lines", F.coalesce("_n_dropped", F.lit(0).cast("bigint")).alias("_n_dropped"), "_text", "_keep")
+    schema = StructType([f for f in some.schema.fields if f.name not in ("_text", "_keep")]).add("_kept", StringType())
+    return whole.unionByName(some.mapInArrow(trimmed(rewrite), schema))
 
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-    rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(rest)], F.col(text_col).alias("_text"))
-    hashed = rows.mapInArrow(trimmed(hashes), StructType([*rows.schema.fields, StructField("_th", LongType())]))
-    doc = F.col(f"_c{rest.index(id_col)}").cast("bigint")
-    m = bitmaps.select(F.col("doc").alias("_doc"), F.col("th").alias("_bth"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_n_dropped"))
-    joined = hashed.join(m.hint("shuffle_hash"), doc.eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_bth")), "left").drop("_doc", "_bth", "_th")
-    schema = StructType([f for f in rows.schema.fields if f.name != "_text"]).add("_n_lines", LongType()).add("_n_dropped", LongType()).add("_kept", StringType())
-    out = joined.mapInArrow(trimmed(rewrite), schema)
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], "_n_lines", "_n_dropped", "_kept")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without text_col + _n_lines, _n_dropped, _kept: the text of the lines that stay, joined by \n. Columns of
+    these names are replaced. Null text is one empty line, kept as the empty text. Repeated rows stay repeated."""
+    out = _rewritten(docs, bitmaps, id_col, text_col)
+    names = [(k, c) for k, c in enumerate(docs.columns) if c not in (text_col, "_n_lines", "_n_dropped", "_kept")]
+    return out.select(*[F.col(f"_c{k}").alias(c) for k, c in names], "_n_lines", "_n_dropped", "_kept")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: float = 1.0, **rule) -> DataFrame:
@@ -206,8 +214,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     No row is dropped: a document whose lines all go has the empty text. A document that would lose
     more than the share ``most`` of its lines is left as it is: it is a copy, for a later step to judge whole."""
     bitmaps = keep_bitmaps(docs, id_col, text_col, **rule).where(F.col("n_dropped") <= most * F.col("n_lines"))
-    out = with_bitmaps(docs.withColumn("_was_null", F.col(text_col).isNull()), bitmaps, id_col, text_col)
-    return out.withColumn(text_col, F.when(F.col("_was_null"), None).otherwise(F.col("_kept"))).select(*docs.columns)
+    out, at = _rewritten(docs, bitmaps, id_col, text_col), docs.columns.index(text_col)
+    text = F.when(F.col(f"_c{at}").isNotNull(), F.col("_kept"))
+    return out.select(*[(text if k == at else F.col(f"_c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def op2_line_dedup(spark, sf_dir):

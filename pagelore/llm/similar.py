@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import HOT_SHARE, may_hold, membership, positional, split_join, trimmed
+from pagelore.llm.common import HOT_SHARE, SMALL_ROWS, may_hold, membership, positional, split_join, trimmed
 from pagelore.llm.components import components
 from pagelore.llm.simhash import BITS, LINKS, TASK_ROWS, _block_links, _bucket_links, segments_for
 from pagelore.runtime import stored
@@ -118,7 +118,7 @@ def candidate_links(nodes: DataFrame, n: int = PRINTS, radius: int = RADIUS, bit
     rows = some.mapInArrow(_variants(n, segments), "key bigint, fp bigint, node bigint")
     found = stored(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_bucket_links(bits, bucket_cap)), LINKS), "found")
     links, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
-    return links.union(_block_links(crowded, bits, bucket_cap)).distinct()
+    return (links if crowded.isEmpty() else links.union(_block_links(crowded, bits, bucket_cap))).distinct()
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -165,33 +165,33 @@ def _verified(rows: DataFrame, sets: DataFrame, least: float, bits: int | None)
     return whole.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(trimmed(_verify(least, bits)), "a bigint, b bigint").distinct()
 
 
-def _checked_links(links: DataFrame, sets: DataFrame, least: float, bits: int) -> DataFrame:
-    """Candidate links (pivot a, b) -> links of similar nodes that join what all checked candidate pairs do."""
+def _checked(links: DataFrame, sets: DataFrame, least: float, bits: int) -> DataFrame:
+    """Candidate links (pivot a, b) -> (node, root) of the components of the links that pass."""
     sizes = stored(links.groupBy("a").agg(F.count("*").alias("n")), "pivots")
     # A pivot with many candidates is dealt to several groups, itself in each.
     parts = F.ceil(F.col("n") / STREAM).cast("bigint")
     probe = sizes.select(F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "a").select(F.xxhash64("a", "part").alias("grp"), F.lit(0).alias("kind"), F.col("a").alias("node"), F.col("a").alias("label"))
     total = links.count()
-    stream = split_join(links, sizes, ["a"], "n", total).select(F.xxhash64("a", F.pmod(F.xxhash64("b"), parts)).alias("grp"), F.lit(1).alias("kind"), F.col("b").alias("node"), F.col("b").alias("label"))
+    stream = split_join(links, sizes, ["a"], "n", total, small=SMALL_ROWS).select(F.xxhash64("a", F.pmod(F.xxhash64("b"), parts)).alias("grp"), F.lit(1).alias("kind"), F.col("b").alias("node"), F.col("b").alias("label"))
     # Groups whose hashes meet are compared with each other too: more comparisons, no wrong link.
     first = stored(_verified(probe.unionByName(stream), sets, least, None), "similar")
 
-    label = stored(components(first), "labels")
+    label = stored(components(first, at_most=total), "labels")
     star = links.unionByName(sizes.select("a", F.col("a").alias("b"))).withColumnRenamed("b", "node")
     star = star.join(label, "node", "left").select("a", "node", F.coalesce("root", "node").alias("label"))
     own = star.where("a = node").select("a", F.col("label").alias("own"))
-    star = stored(split_join(star, own.join(sizes.select("a", (F.col("n") + 1).alias("n")), "a"), ["a"], "n", total + sizes.count()).drop("n"), "stars")
+    star = stored(split_join(star, own.join(sizes.select("a", (F.col("n") + 1).alias("n")), "a"), ["a"], "n", 2 * total, small=SMALL_ROWS).drop("n"), "stars")
     # Of a pivot whose star is in several components: the members outside its own are the probes, in blocks.
     rest = star.where("label <> own").groupBy("a").agg(F.count("*").alias("strangers"))
     rest = stored(rest.join(sizes, "a").where("n > 1").select("a", "n", F.ceil(F.col("strangers") / BLOCK).cast("bigint").alias("blocks"), F.ceil((F.col("n") + 1) / STREAM).cast("bigint").alias("parts")), "rest")
     if rest.isEmpty():
-        return first
+        return label
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    member = split_join(star, rest.withColumn("n", F.col("n") + 1), ["a"], "n", total + sizes.count())
+    member = split_join(star, rest.withColumn("n", F.col("n") + 1), ["a"], "n", 2 * total, small=SMALL_ROWS)
     group = F.xxhash64("a", "block", "part", F.lit("rest")).alias("grp")
     probe = member.where("label <> own").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("part", every("parts")).select(group, F.lit(0).alias("kind"), "node", "label")
     stream = member.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("block", every("blocks")).select(group, F.lit(1).alias("kind"), "node", "label")
-    return first.unionByName(_verified(probe.unionByName(stream), sets, least, bits)).distinct()
+    return components(first.unionByName(stored(_verified(probe.unionByName(stream), sets, least, bits), "similar")))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILARITY, prints: int = PRINTS, radius: int = RADIUS, bits: int = CHECK_BITS, bucket_cap: int = 4096) -> DataFrame:
@@ -214,11 +214,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     read = may_hold(rows, membership(named.select(F.col("row").alias("_h"))), F.col("row")).where("_may").select("text").mapInArrow(trimmed(_sets(words)), "t1 bigint, t2 bigint, shingles binary")
     sets = stored(read.join(named.select("node", "fp", "t1", "t2"), ["t1", "t2"]).groupBy("node").agg(F.min("fp").alias("fp"), F.first("shingles").alias("shingles")), "sets")
 
-    roots = stored(components(_checked_links(links, sets, least, bits)), "roots")
+    roots = stored(_checked(links, sets, least, bits), "roots")
     node = nodes.select("node", "t1", "t2", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = node.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("nodes"))
     alone = node.select("t1", "t2", "n", "root")
-    classes = split_join(alone, least_of, ["root"], "nodes", nodes.count()).select("t1", "t2", "n", "component")
+    classes = split_join(alone, least_of, ["root"], "nodes", nodes.count(), small=SMALL_ROWS).select("t1", "t2", "n", "component")
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return split_join(seen.select("id", "row", "t1", "t2"), stored(classes, "classes"), ["t1", "t2"], "n", total).select("id", "row", "component")
 

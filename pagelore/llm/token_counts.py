@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import trimmed
+from pagelore.llm.common import positional, shipped_model, trimmed
 from pagelore.llm.ngrams import Remembered
 from pagelore.runtime import table
 
@@ -134,25 +134,24 @@ class Unigram:
         return sum([known.get(c) or new(c) for c in self.chunks(text)])
 
 
-_LOADED: dict[str, Unigram] = {}
-
-
 def load(path: str) -> Unigram:
-    if path not in _LOADED:
-        with open(path, "rb") as f:
-            _LOADED[path] = Unigram(f.read())
-    return _LOADED[path]
+    with open(path, "rb") as f:
+        return Unigram(f.read())
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens) of every row; a null or empty text has none."""
+    """(id, n_tokens) of every row; a null or empty text has none. Texts are counted whole, however long; of
+    equally good segmentations the library's counts. Repeated rows give repeated rows, an empty table none. Ids are
+    whole numbers: others fail. Only the two columns are read, whatever the names of the others."""
+    unigram = shipped_model(docs.sparkSession, path, Unigram)
 
     def run(batches):
-        model = load(path)
+        model = unigram()
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([model.count(t) for t in b.column(1).to_pylist()], pa.int64())], names=["id", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id bigint, n_tokens bigint")
+    i, t = (F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col))
+    return positional(docs).select(i.cast("bigint").alias("id"), t.alias("text")).mapInArrow(trimmed(run), "id bigint, n_tokens bigint")
 
 
 def default_path() -> str:

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from pagelore.llm.common import held_out, trimmed
+from pagelore.llm.common import give_back, held_out, named, positional, trimmed
 from pagelore.llm.ngrams import WordRows, in_groups, ngram_buckets, per_word_sums, words_of
 from pagelore.runtime import stored, table
 
@@ -176,7 +177,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float = 0.2, window: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, **setup) -> Model:
-    """A model of the labelled rows: at most sample_rows documents of either class. Labels other than
+    """A model of the labelled rows: about sample_rows documents of either class, three times as many at most
+    in all. Labels other than
     0 and 1, null ids and labels without a document are passed over; of contradictory labels of one
     id, 1 holds. Ids are picked by hash from the labels alone, so texts are read once, for the picked."""
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -188,18 +190,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     limit = F.when(F.col("y") == 1, min(1.0, sample_rows / n[1])).otherwise(min(1.0, sample_rows / n[0]))
     picked = own.where(h <= limit).withColumn("h", h).orderBy("h", "id").limit(3 * sample_rows)  # a bounded number of (id, y)
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").orderBy("h", "id", "text").limit(3 * sample_rows).collect()
-    return train([r.text or "" for r in got], np.array([r.y for r in got], dtype=int), **TRAIN | setup)
+    model = train([r.text or "" for r in got], np.array([r.y for r in got], dtype=int), **TRAIN | setup)
+    del got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs + score: every whole text's probability of being toxic, from its text alone. Null
-    texts and those without a letter score 0. Every row stays."""
+    texts and those without a letter score 0. Every row stays, repeated ones as often as they are there, equal
+    texts with equal scores; an empty table gives an empty one. A column named score is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS doubles
-    names = list(docs.columns)
-    src = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(names)])
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    at = names.index(text_col)
+    src, at = positional(docs), docs.columns.index(text_col)
 
     def run(batches):
         m = shared.value
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.record_batch([*b.columns, s], schema=pa.schema([*b.schema, ("_score", pa.float64())]))
 
     out = src.mapInArrow(trimmed(run), StructType([*src.schema.fields, StructField("_score", DoubleType())]))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)], F.col("_score").alias("score"))
+    return named(out, docs.columns, {"score": F.col("_score")})
 
 
 def op1_toxicity(spark, sf_dir):

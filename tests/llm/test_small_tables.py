@@ -60,7 +60,7 @@ def brute_lines(rows, min_docs, min_chars, keep_first):
     for i, t in rows:
         for x in (t or "").split("\n"):
             seen[key(x)].add(i)
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, simhash_key(r[1])))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_order(r[1])))
     first, out = set(), {}
     for i, t in order:
         kept, lines = [], (t or "").split("\n")
@@ -76,8 +76,10 @@ def brute_lines(rows, min_docs, min_chars, keep_first):
     return out
 
 
-def simhash_key(t):
-    return line_dedup._text_hash((t or "").encode())
+def text_order(t):
+    """Rows of one id are ordered by XXH64 of their text, as a signed number."""
+    h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+    return h - 2**64 if h >= 2**63 else h
 
 
 @pytest.mark.parametrize("rule", [dict(min_docs=2, min_chars=1, keep_first=False), dict(min_docs=3, min_chars=2, keep_first=False), dict(min_docs=2, min_chars=1, keep_first=True)])
@@ -247,6 +249,7 @@ def test_bpe_against_the_library(spark):
         assert np.frombuffer(got[i].ids, "<u4").tolist() == e and got[i].n_tokens == len(e)
         assert got[i].decoded == lib.decode(e, skip_special_tokens=False)
         assert digests[i].ids_sha256 == hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest()
+    assert bpe.encode(d.limit(0), path).count() == 0
     assert bpe.load(path).decode(np.array([10, 200, 999_999], "<u4").tobytes()) == bpe.load(path).decode(np.array([10, 200], "<u4").tobytes())
 
 
@@ -289,9 +292,13 @@ def test_token_counts_against_the_library(spark):
         if p.type == 1:
             p.score = max(p.score, floor)
     lib = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
-    texts = [t if t is None or len(t) < 1000 else t[:400] for _, t, *_ in ROWS] + ["  two  marks ", "▁▁x", "日本語 と \x00", "\n\n"]
+    texts = [t for _, t, *_ in ROWS] + ["  two  marks ", "▁▁x", "日本語 と \x00", "\n\n"]
     got = {r.id: r.n_tokens for r in token_counts.count_tokens(docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), token_counts.default_path()).collect()}
     assert got == {i: len(lib.encode(t or "")) for i, t in enumerate(texts)}
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    counts = {r.id: r.n_tokens for r in token_counts.count_tokens(real, token_counts.default_path()).collect()}
+    assert counts == {r.doc_id: len(lib.encode(r.text or "")) for r in real.collect()}
+    assert token_counts.count_tokens(real.limit(0), token_counts.default_path()).count() == 0
 
 
 def test_viterbi_against_all_segmentations():
