@@ -105,27 +105,30 @@ def _tfidf(texts: list[str], idf: np.ndarray, scale: float):
 
 
 def train_ftrl(rows, labels: np.ndarray, k: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int = 7, **_):
-    """FTRL-proximal over sparse rows: z, n per coordinate; a weight is zero until |z| passes l1."""
-    z, n = np.zeros((1 << BITS, k)), np.zeros((1 << BITS, k))
-    bias, bias_n = np.zeros(k), np.zeros(k)
-    rng = np.random.default_rng(seed)
+    """FTRL-proximal over sparse rows: z, n per coordinate; a weight is zero until |z| passes l1. The bias is
+    the last coordinate, of value 1 in each row and without l1."""
+    z, n = np.zeros(((1 << BITS) + 1, k)), np.zeros(((1 << BITS) + 1, k))
+    rng, last = np.random.default_rng(seed), 1 << BITS
+    rows = [(np.r_[at, last], np.r_[x, 1.0]) for at, x in rows]
 
     def weights(z, n):
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+        """Of rows of coordinates of which the last is the bias."""
+        lasso = np.full((len(z), 1), l1)
+        lasso[-1] = 0
+        return np.where(np.abs(z) <= lasso, 0.0, -(z - np.sign(z) * lasso) / ((beta + np.sqrt(n)) / alpha + l2))
 
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             at, x = rows[i]
             w = weights(z[at], n[at])
-            p = _softmax((x @ w + bias)[None, :])[0]
+            p = _softmax((x @ w)[None, :])[0]
             p[labels[i]] -= 1
             g = x[:, None] * p[None, :]
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
-            bias_n += p * p
-            bias -= 0.5 * p / (1 + np.sqrt(bias_n))
-    return weights(z, n), bias
+    w = weights(z, n)
+    return w[:-1], w[-1]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

@@ -86,12 +86,12 @@ class WordRows:
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
-def in_groups(texts, words: int = 100_000):
+def in_groups(texts, words: int = 100_000, split=words_of):
     """(number of words of each text, all their words): texts in turn, in groups of about so many words;
     a text is never split."""
     sizes, flat = [], []
     for t in texts:
-        w = words_of(t)
+        w = split(t)
         sizes.append(len(w))
         flat += w
         if len(flat) >= words:

@@ -14,6 +14,7 @@ worker and looked up for each further occurrence.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pagelore.llm.common import give_back, held_out, named, positional, trimmed
-from pagelore.llm.ngrams import WordRows, in_groups, ngram_buckets, per_word_sums, words_of
+from pagelore.llm.ngrams import WordRows, in_groups, ngram_buckets, per_word_sums
 from pagelore.runtime import stored, table
 
 BITS, SIZES, DIM, WINDOW = 18, range(3, 6), 8, 64
@@ -32,6 +33,15 @@ SAMPLE_ROWS = 2000
 TRAIN = {"prior": 0.2, "epochs": 5, "rate": 0.2, "l2": 1e-5, "batch": 16, "min_docs": 8, "seed": 11}
 
 
+_TOKEN = re.compile(r"\w*[^\W\d_]\w*").findall
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """Lower-cased runs of word characters with a letter in them: digits and underscores put into a word
+    leave it one word, which keeps the n-grams around them."""
+    return _TOKEN(text.lower()) if text else []
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word number, bucket), sorted by word: the n-grams of <word> and the word as a whole."""
     at, bucket = ngram_buckets(words, SIZES, BITS)
@@ -82,7 +92,7 @@ class Model:
             return [0.0 for _ in texts]
         words = WordRows.of_model(self.uid, self._make, 1)
         out = []
-        for sizes, flat in in_groups(texts):
+        for sizes, flat in in_groups(texts, split=tokens_of):
             ids = words.numbers(flat) if flat else np.zeros(0, np.int64)
             s = words.rows[ids, 0]
             at = 0
@@ -113,18 +123,18 @@ def calibrate(model: Model, texts: list[str], labels: np.ndarray, prior: float)
     model.scale, model.shift = float(at[0]), float(at[1])
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float = 0.2, window: int = WINDOW, epochs: int = 5, rate: float = 0.2, l2: float = 1e-5, batch: int = 16, min_docs: int = 8, seed: int = 11) -> Model:
+def train(texts: list[str], labels: np.ndarray, prior: float = 0.2, window: int = WINDOW, epochs: int = 5, rate: float = 0.2, l2: float = 1e-5, batch: int = 16, min_docs: int = 8, seed: int = 11, bias_rate: float = 0.02) -> Model:
     """Fits embeddings and layer by Adagrad on four fifths of the documents; the others calibrate the
     scores for a toxic share of ``prior``. Buckets of fewer than min_docs documents keep the zero vector."""
     if not len(labels) or labels.min() == labels.max():
         return Model()
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (1 << BITS, DIM))
-    # The bias is fixed against the toxic class: words must speak for it, their absence must not.
+    # The bias starts against the toxic class: words must speak for it, their absence must not.
     layer, bias = rng.normal(0, 0.5, (DIM, 2)), np.array([1.0, -1.0])
-    ge, gl = np.full(1 << BITS, 1e-6), np.full((DIM, 2), 1e-6)
+    ge, gl, gb = np.full(1 << BITS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1.0)
     held = np.arange(len(labels)) % 5 == 4
-    docs = [words_of(t) for t in texts]
+    docs = [tokens_of(t) for t in texts]
     keep = [i for i, w in enumerate(docs) if w and not held[i]]
     # Buckets of few documents would be learned by heart: they keep the zero vector.
     df = np.zeros(1 << BITS, np.int64)
@@ -171,6 +181,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float = 0.2, window: int
             gl += dl * dl
             embed[cells] -= rate * g / np.sqrt(ge[cells])[:, None]
             layer -= 0.2 * dl / np.sqrt(gl)
+            db = x.sum(axis=0)
+            gb += db * db
+            bias -= bias_rate * db / np.sqrt(gb)
     model = Model(embed, layer, bias, window)
     calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], labels[held], prior)
     return model
