@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from pagelore.runtime import stored, table
 
-SHARD_ROWS, LEAF, BLOCK, SLACK = 16_384, 64, 1024, 4
+SHARD_ROWS, LEAF, BLOCK, SLACK = 16_384, 256, 1024, 4
 #: Cosines of the tree that differ by less may be in another order, or equal, when rescored.
 MARGIN = 1e-11
 FOUND = "query_id bigint, vec_id bigint, score double"
@@ -77,7 +77,9 @@ class VpTree:
         if len(node) == 1:
             rows = node[0]
             self.visited += len(act) * len(rows)
-            cos = np.concatenate([self.best[act], self.queries[act] @ self.unit[rows].T], axis=1)
+            cos = self.queries[act] @ self.unit[rows].T
+            better = np.flatnonzero(cos.max(axis=1) > self.best[act, -1])
+            act, cos = act[better], np.concatenate([self.best[act[better]], cos[better]], axis=1)
             ids = np.concatenate([self.rows[act], np.broadcast_to(rows, (len(act), len(rows)))], axis=1)
             top = np.argsort(-cos, axis=1, kind="stable")[:, : self.keep]
             self.best[act], self.rows[act] = np.take_along_axis(cos, top, 1), np.take_along_axis(ids, top, 1)
@@ -159,7 +161,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 1
     ``queries`` (all, if fewer), the query's own id left out; ties go to the smaller id. Both tables
     hold id_col and vec_col. Rows whose id or vector is null, whose vector is empty or zero or has a null
     or non-finite component take no part. Only vectors of one length are compared. Rows that repeat an
-    id are one candidate, by its best score. A table without usable rows gives an empty result.
+    id are one candidate, by its best score. Ids are whole numbers: others fail. Only the two columns are read,
+    whatever the names of the others. A table without usable rows gives an empty result.
     """
     v = F.col(vec_col)
     usable = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
