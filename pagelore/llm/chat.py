@@ -55,13 +55,17 @@ def rendered_turn(role, text):
 
 def format_chats(turns: DataFrame, **cols) -> DataFrame:
     """(conv_id, n_turns, copies, chat) of each maximal conversation. Rows of the null id are one
-    conversation. An empty table gives an empty result. A rendered conversation is one row."""
-    t = numbered(turns, **cols)
+    conversation. Columns other than the four are not read, whatever their names; long texts are kept whole. An
+    empty table gives an empty result. A rendered conversation is one row."""
+    t = stored(numbered(turns, **cols), "turns")
     keep = stored(maximal(stored(prefix_hashes(t), "prefixes")), "maximal")
-    t = t.join(keep.hint("merge"), t["conv"].eqNullSafe(keep["conv"])).drop(keep["conv"])
+    # Join and grouping have the same keys without nulls, so texts are dealt out once.
+    own = lambda df: df.withColumn("_null", F.col("conv").isNull()).withColumn("_conv", F.coalesce(F.col("conv").cast("string"), F.lit("")))
+    t = own(t).join(own(keep).select("_null", "_conv", "n", "copies").hint("merge"), ["_null", "_conv"])
     said = F.collect_list(F.struct("k", rendered_turn(F.col("role"), F.col("text")).alias("s")))
     chat = F.array_join(F.transform(F.sort_array(said), lambda x: x["s"]), "")
-    return t.groupBy("conv").agg(F.first("n").alias("n_turns"), F.first("copies").alias("copies"), chat.alias("chat")).withColumnRenamed("conv", "conv_id")
+    g = t.groupBy("_null", "_conv").agg(F.first("conv").alias("conv_id"), F.first("n").alias("n_turns"), F.first("copies").alias("copies"), chat.alias("chat"))
+    return g.select("conv_id", "n_turns", "copies", "chat")
 
 
 def op3_chat_format(spark, sf_dir):
