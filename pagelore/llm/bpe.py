@@ -33,7 +33,7 @@ UNICODE_16 = (
     (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FF),
 )
 #: A worker remembers up to twice this many pieces, of at most this many characters, and so many token pairs.
-CACHE_PIECES, CACHED_CHARS, CACHE_PAIRS = 120_000, 64, 300_000
+CACHE_PIECES, CACHED_CHARS, CACHE_PAIRS = 100_000, 32, 100_000
 
 
 def byte_chars() -> dict[str, int]:

@@ -88,15 +88,18 @@ def shipped_model(spark, path: str, build):
         raw = f.read()
     key, shared = (build.__module__, hashlib.sha256(raw).hexdigest()), spark.sparkContext.broadcast(raw)  # a vocabulary file, a few MB
 
-    def get():
-        if key not in _BUILT:
-            _BUILT[key] = build(shared.value)
-        return _BUILT[key]
+    return lambda: held_model(key, lambda: build(shared.value))
 
-    return get
 
+_HELD: list = [None, None]
 
-_BUILT: dict = {}
+
+def held_model(key, build):
+    """What build() gives, kept from task to task; a worker holds that of one key only."""
+    if _HELD[0] != key:
+        _HELD[:] = [None, None]
+        _HELD[:] = [key, build()]
+    return _HELD[1]
 
 
 def give_back() -> None:

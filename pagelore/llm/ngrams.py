@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from pagelore.llm.common import held_model
+
 _WORD = re.compile(r"[^\W\d_]+").findall
 #: Fixed mixing constants of the hash: odd 64-bit numbers.
 _STEP, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
@@ -50,14 +52,10 @@ class WordRows:
     """word -> number, with what ``make`` gives for the words in an array of one row each. Bounded:
     when a batch of texts would not fit, all is forgotten first."""
 
-    _held: tuple[str, WordRows] | None = None
-
     @classmethod
     def of_model(cls, uid: str, make, width: int) -> WordRows:
-        """The rows of a model, kept from task to task; a worker keeps those of one model only."""
-        if cls._held is None or cls._held[0] != uid:
-            cls._held = (uid, cls(make, width))
-        return cls._held[1]
+        """The rows of a model, kept from task to task."""
+        return held_model(uid, lambda: cls(make, width))
 
     def __init__(self, make, width: int, cap: int = 150_000):
         self.make, self.cap = make, cap
