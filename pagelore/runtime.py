@@ -47,7 +47,7 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
 
 
 #: Arrow batches are cut at this size, so that a worker holds few long texts at a time.
-BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b")
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")
 
 
 def ship(spark: SparkSession) -> None:
