@@ -38,9 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again: narrow scans, known sizes."""
+#: A table that is known to be small is written in files of about so many rows, not in one for each partition.
+FILE_ROWS = 250_000
+
+
+def stored(df: DataFrame, name: str = "t", at_most: int | None = None) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: narrow scans, known sizes.
+    at_most: a known bound of its rows, which are narrow and come out of a shuffle; it sets the number of files."""
     spark = df.sparkSession
+    df = df if at_most is None else df.coalesce(1 + at_most // FILE_ROWS)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
