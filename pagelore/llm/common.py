@@ -66,12 +66,22 @@ SMALL_ROWS = 1_000_000
 
 
 def split_join(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, total: int, how: str = "inner", small: int = 0) -> DataFrame:
-    """rows joined with per_key, which has one row for each key and says in n how many of the ``total`` rows
-    have it. Hot keys, fewer than HOT_SHARE by arithmetic, are broadcast, so that their rows stay where they
-    are; the others are shuffled, and none of them makes a task large. Where all rows together are at most
+    """rows, stored and narrow, joined with per_key, which has one row for each key and says in n how many of the
+    ``total`` rows have it. Hot keys, fewer than HOT_SHARE by arithmetic, are known to the rows by broadcast and
+    dealt to several tasks each, so none of them makes a task large. Where all rows together are at most
     ``small``, a plain join does."""
     if total <= small:
         return rows.join(per_key, key, how)
+    least = max(1.0, total / HOT_SHARE)
+    parts = F.when(F.col(n) > least, F.ceil(F.col(n) / least)).otherwise(1).cast("bigint")
+    hot = per_key.where(F.col(n) > least).select(*key, parts.alias("_parts"))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1).cast("bigint")))).drop("_parts")
+    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return left.join(right, [*key, "_salt"], how).drop("_salt")
+
+
+def split_text_join(rows: DataFrame, per_key: DataFrame, key: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """As split_join for rows with texts: those of hot keys are joined by broadcast and stay where they are."""
     least = total / HOT_SHARE
     hot, cold = per_key.where(F.col(n) > least), per_key.where(F.col(n) <= least)
     a = rows.join(F.broadcast(hot), key)

@@ -29,15 +29,11 @@ def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     return out.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-#: A round's links are written in files of about so many rows, not in one for each shuffle partition.
-FILE_ROWS = 250_000
-
-
 def components(links: DataFrame, max_rounds: int = 50, at_most: int | None = None) -> DataFrame:
     """links (a, b) of one orderable type -> (node, root) of every node with a link, root the least node reachable.
     at_most: a known bound of the number of links, if there is one."""
     links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(links if at_most is None else links.coalesce(1 + at_most // FILE_ROWS), "links")
+    links = stored(links, "links", at_most)
     state = None
     for _ in range(max_rounds):
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -45,5 +41,5 @@ def components(links: DataFrame, max_rounds: int = 50, at_most: int | None = Non
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         state = (now.n, now.h)
         # A step makes at most two links of one.
-        links = stored(_star(_star(links, True, 2 * now.n), False, 2 * now.n).coalesce(1 + 4 * now.n // FILE_ROWS), "links")
+        links = stored(_star(_star(links, True, 2 * now.n), False, 2 * now.n), "links", 4 * now.n)
     raise RuntimeError("links did not settle")

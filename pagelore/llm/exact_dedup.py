@@ -39,14 +39,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefix, full = F.xxhash64(ascii_lower(F.substring("_text", 1, prefix_chars))), F.sha2(ascii_lower("_text").cast("binary"), 256)
     several = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1")
 
-    lengths = stored(membership(several(rows, "_len").select(of_length.alias("_h")), words=filter_words), "lengths")
+    lengths = stored(membership(several(rows, "_len").select(of_length.alias("_h")), words=filter_words), "lengths", filter_words)
     keyed = may_hold(rows.select("_len", "_text"), lengths, of_length, words=filter_words).where("_may").select("_len", prefix.alias("_prefix"))
-    prefixes = stored(membership(several(keyed, "_len", "_prefix").select(of_prefix.alias("_h")), words=filter_words), "prefixes")
+    prefixes = stored(membership(several(keyed, "_len", "_prefix").select(of_prefix.alias("_h")), words=filter_words), "prefixes", filter_words)
     left = may_hold(may_hold(rows, lengths, of_length, "_same_length", filter_words).withColumn("_prefix", F.when(F.col("_same_length"), prefix)), prefixes, of_prefix, words=filter_words)
     narrow = stored(left.select("_id", *carried, F.when(F.col("_same_length") & F.col("_may"), full).alias("_full")), "hashes")
 
     open_ = narrow.where("_full is not null")
-    groups = stored(open_.groupBy("_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")), "groups")
+    groups = stored(open_.groupBy("_full").agg(F.max("_id").alias("_keep"), F.count("*").alias("_size")), "groups", narrow.count())
     total = groups.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     alone = narrow.where("_full is null").select("*", F.col("_id").alias("_keep"), F.lit(1).cast("bigint").alias("_size"))
     out = split_join(open_, groups, ["_full"], "_size", total).unionByName(alone)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from pagelore.llm.common import may_hold, membership, positional, split_join, trimmed
+from pagelore.llm.common import may_hold, membership, positional, split_text_join, trimmed
 from pagelore.runtime import cut, stored, table
 
 LINES = "h1 bigint, h2 bigint, doc bigint, th bigint, pos int, n_lines int"
@@ -151,7 +151,6 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     i, t = (F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col))
     rows = positional(docs).select(i.cast("bigint").alias("doc"), _text_hash(t).alias("th"), t.alias("text")).mapInArrow(trimmed(_lines(min_chars)), LINES)
     key = ["h1", "h2", "doc", "th", "pos"]
-    rows = stored(rows, "lines")  # the bounds of the ranges are sampled: lines would be hashed twice
     rows = cut(rows.repartitionByRange(*key).sortWithinPartitions(*key))
     ends = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b"))
     # Hashes at both sides of a border: at most one a border, so as many as partitions.
@@ -195,7 +194,7 @@ def _rewritten(docs: DataFrame, bitmaps: DataFrame, id_col: str, text_col: str)
     total = bitmaps.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     per_key = bitmaps.select(*own(F.col("doc")), F.col("th").alias("_th"), "n_rows", F.col("keep").alias("_keep"), F.col("n_dropped").cast("bigint").alias("_n_dropped"))
     some = rows.where("_may").select("*", *own(i.cast("bigint")), t.alias("_text"))
-    some = split_join(some, per_key, ["_doc", "_null", "_th"], "n_rows", total, "left")
+    some = split_text_join(some, per_key, ["_doc", "_null", "_th"], "n_rows", total, "left")
     some = some.select(*[f"_c{k}" for k in range(len(docs.columns))], "_n_lines", F.coalesce("_n_dropped", F.lit(0).cast("bigint")).alias("_n_dropped"), "_text", "_keep")
     schema = StructType([f for f in some.schema.fields if f.name not in ("_text", "_keep")]).add("_kept", StringType())
     return whole.unionByName(some.mapInArrow(trimmed(rewrite), schema))

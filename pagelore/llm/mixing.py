@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import positional, split_join
+from pagelore.llm.common import positional, split_text_join
 from pagelore.runtime import stored, table
 
 WEIGHTS = (3, 1, 2)
@@ -58,7 +58,7 @@ def _hash(id_, text):
 def mixing_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """rows (source, size, _h), stored -> one row per source: source_size, target, the number of whole
     passes, the rest, the hash up to which documents are taken once more (null: all, if there is a rest) and
-    the number of rows. A source's histogram is at most 4096 rows, rows themselves are joined by split_join."""
+    the number of rows. A source's histogram is at most 4096 rows, rows themselves are joined by split_text_join."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     targets = stored(source_targets(sizes, weights, share, cap), "targets")
     total = targets.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
@@ -68,7 +68,7 @@ def mixing_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     # Each step: in the open bucket of each source, the sub-bucket in which the budget ends.
     for shift in (HASH_BITS - STEP_BITS, HASH_BITS - 2 * STEP_BITS, 0):
         width = F.lit(1 << shift).cast("bigint")
-        inside = rows if shift == HASH_BITS - STEP_BITS else split_join(rows, open_.select("_null", "_src", "_n", F.col("_low").alias("_from"), (F.col("_low") + F.lit(1 << above)).alias("_to")), ["_null", "_src"], "_n", total).where("_h >= _from and _h < _to")
+        inside = rows if shift == HASH_BITS - STEP_BITS else split_text_join(rows, open_.select("_null", "_src", "_n", F.col("_low").alias("_from"), (F.col("_low") + F.lit(1 << above)).alias("_to")), ["_null", "_src"], "_n", total).where("_h >= _from and _h < _to")
         hist = inside.groupBy("_null", "_src", (F.shiftright("_h", shift) * width).alias("_b")).agg(F.sum("size").alias("_s"))
         w = Window.partitionBy("_null", "_src").orderBy("_b")
         run = hist.join(open_, ["_null", "_src"]).withColumn("_upto", F.col("_before") + F.sum("_s").over(w))
@@ -86,7 +86,7 @@ def _take(rows: DataFrame, plan: DataFrame, cap: int) -> DataFrame:
     """rows (_null, _src, _h, ...) + the plan of their source and copies."""
     copies = F.least(F.lit(cap).cast("bigint"), F.col("_k") + F.when((F.col("_rest") > 0) & (F.col("_cut").isNull() | (F.col("_h") <= F.col("_cut"))), 1).otherwise(0))
     total = plan.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    return split_join(rows, plan, ["_null", "_src"], "_n", total).withColumn("copies", copies)
+    return split_text_join(rows, plan, ["_null", "_src"], "_n", total).withColumn("copies", copies)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:

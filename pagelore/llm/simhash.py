@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import split_join, trimmed
-from pagelore.llm.components import FILE_ROWS, components
-from pagelore.runtime import stored, table
+from pagelore.llm.components import components
+from pagelore.runtime import FILE_ROWS, stored, table
 
 BITS = 64
 
@@ -223,15 +223,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the others. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col, text_col, words), "prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct", prints.count())
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     links = stored(fingerprint_links(distinct, radius, bucket_cap), "links")
     n = links.count()
     roots = components(links, at_most=n)
-    roots = stored(roots.select(F.col("node").alias("fp"), "root").coalesce(1 + 2 * n // FILE_ROWS), "roots")
+    roots = stored(roots.select(F.col("node").alias("fp"), "root"), "roots", 2 * n)
     named = distinct.join(roots, "fp").groupBy("root").agg(F.min("least").alias("component"))
     classes = distinct.join(roots.join(named, "root").select("fp", "component"), "fp", "left").select("fp", "n", F.coalesce("component", "least").alias("component"))
-    return split_join(prints, stored(classes, "classes"), ["fp"], "n", total).select("id", "fp", "component")
+    return split_join(prints, stored(classes, "classes", total), ["fp"], "n", total).select("id", "fp", "component")
 
 
 def op5_simhash_dedup(spark, sf_dir):

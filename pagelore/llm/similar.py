@@ -110,7 +110,7 @@ def _variants(n: int, segments):
 
 
 def candidate_links(nodes: DataFrame, n: int = PRINTS, radius: int = RADIUS, bits: int = CHECK_BITS, bucket_cap: int = 4096) -> DataFrame:
-    """nodes (node, f0 ...) -> distinct links (a, b): in each bucket every candidate with its pivot."""
+    """nodes (node, f0 ...) -> distinct links (a, b), stored: in each bucket every candidate with its pivot."""
     segments = segments_for(radius)
     if max(w for _, w in segments) > 48 or n < 2:
         raise ValueError("two fingerprints or more of segments of 48 bits or less are needed")
@@ -118,7 +118,9 @@ def candidate_links(nodes: DataFrame, n: int = PRINTS, radius: int = RADIUS, bit
     rows = some.mapInArrow(_variants(n, segments), "key bigint, fp bigint, node bigint")
     found = stored(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_bucket_links(bits, bucket_cap)), LINKS), "found")
     links, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
-    return (links if crowded.isEmpty() else links.union(_block_links(crowded, bits, bucket_cap))).distinct()
+    if crowded.isEmpty():
+        return stored(links.distinct(), "links", found.count())
+    return stored(links.union(_block_links(crowded, bits, bucket_cap)).distinct(), "links")
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -167,23 +169,23 @@ def _verified(rows: DataFrame, sets: DataFrame, least: float, bits: int | None)
 
 def _checked(links: DataFrame, sets: DataFrame, least: float, bits: int) -> DataFrame:
     """Candidate links (pivot a, b) -> (node, root) of the components of the links that pass."""
-    sizes = stored(links.groupBy("a").agg(F.count("*").alias("n")), "pivots")
+    total = links.count()
+    sizes = stored(links.groupBy("a").agg(F.count("*").alias("n")), "pivots", total)
     # A pivot with many candidates is dealt to several groups, itself in each.
     parts = F.ceil(F.col("n") / STREAM).cast("bigint")
     probe = sizes.select(F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"), "a").select(F.xxhash64("a", "part").alias("grp"), F.lit(0).alias("kind"), F.col("a").alias("node"), F.col("a").alias("label"))
-    total = links.count()
     stream = split_join(links, sizes, ["a"], "n", total, small=SMALL_ROWS).select(F.xxhash64("a", F.pmod(F.xxhash64("b"), parts)).alias("grp"), F.lit(1).alias("kind"), F.col("b").alias("node"), F.col("b").alias("label"))
     # Groups whose hashes meet are compared with each other too: more comparisons, no wrong link.
-    first = stored(_verified(probe.unionByName(stream), sets, least, None), "similar")
+    first = stored(_verified(probe.unionByName(stream), sets, least, None), "similar", 2 * total)
 
-    label = stored(components(first, at_most=total), "labels")
+    label = stored(components(first, at_most=2 * total), "labels", 4 * total)
     star = links.unionByName(sizes.select("a", F.col("a").alias("b"))).withColumnRenamed("b", "node")
     star = star.join(label, "node", "left").select("a", "node", F.coalesce("root", "node").alias("label"))
     own = star.where("a = node").select("a", F.col("label").alias("own"))
-    star = stored(split_join(star, own.join(sizes.select("a", (F.col("n") + 1).alias("n")), "a"), ["a"], "n", 2 * total, small=SMALL_ROWS).drop("n"), "stars")
+    star = stored(split_join(star, own.join(sizes.select("a", (F.col("n") + 1).alias("n")), "a"), ["a"], "n", 2 * total, small=SMALL_ROWS).drop("n"), "stars", 2 * total)
     # Of a pivot whose star is in several components: the members outside its own are the probes, in blocks.
     rest = star.where("label <> own").groupBy("a").agg(F.count("*").alias("strangers"))
-    rest = stored(rest.join(sizes, "a").where("n > 1").select("a", "n", F.ceil(F.col("strangers") / BLOCK).cast("bigint").alias("blocks"), F.ceil((F.col("n") + 1) / STREAM).cast("bigint").alias("parts")), "rest")
+    rest = stored(rest.join(sizes, "a").where("n > 1").select("a", "n", F.ceil(F.col("strangers") / BLOCK).cast("bigint").alias("blocks"), F.ceil((F.col("n") + 1) / STREAM).cast("bigint").alias("parts")), "rest", total)
     if rest.isEmpty():
         return label
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -206,21 +208,22 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = positional(docs).select(i.cast("bigint").alias("id"), F.xxhash64(i, t).alias("row"), t.alias("text"))
     seen = stored(rows.mapInArrow(trimmed(_prints(words, prints)), "id bigint, row bigint, t1 bigint, t2 bigint, " + ", ".join(f"f{k} bigint" for k in range(prints))), "prints")
     groups = seen.groupBy("t1", "t2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("row").alias("row"), *[F.min(f"f{k}").alias(f"f{k}") for k in range(prints)])
-    nodes = stored(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    links = stored(candidate_links(nodes, prints, radius, bits, bucket_cap), "links")
+    rows_in = seen.count()
+    nodes = stored(groups.withColumn("node", F.monotonically_increasing_id()), "nodes", rows_in)
+    links = candidate_links(nodes, prints, radius, bits, bucket_cap)
+    n = links.count()
 
     named = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.select("node", "row", "t1", "t2", F.col("f0").alias("fp")), "node")
-    named = stored(named, "named")
+    named = stored(named, "named", 2 * n)
     read = may_hold(rows, membership(named.select(F.col("row").alias("_h"))), F.col("row")).where("_may").select("text").mapInArrow(trimmed(_sets(words)), "t1 bigint, t2 bigint, shingles binary")
     sets = stored(read.join(named.select("node", "fp", "t1", "t2"), ["t1", "t2"]).groupBy("node").agg(F.min("fp").alias("fp"), F.first("shingles").alias("shingles")), "sets")
 
-    roots = stored(_checked(links, sets, least, bits), "roots")
+    roots = stored(_checked(links, sets, least, bits), "roots", 4 * n)
     node = nodes.select("node", "t1", "t2", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_of = node.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("nodes"))
     alone = node.select("t1", "t2", "n", "root")
     classes = split_join(alone, least_of, ["root"], "nodes", nodes.count(), small=SMALL_ROWS).select("t1", "t2", "n", "component")
-    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return split_join(seen.select("id", "row", "t1", "t2"), stored(classes, "classes"), ["t1", "t2"], "n", total).select("id", "row", "component")
+    return split_join(seen.select("id", "row", "t1", "t2"), stored(classes, "classes", rows_in), ["t1", "t2"], "n", rows_in).select("id", "row", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule) -> DataFrame:
