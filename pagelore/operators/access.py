@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.operators.keys import page_of, rank_of, successor
+from pagelore.operators.keys import page_of, ranks_of_ends, successor
 from pagelore.schema import ITEMS_PER_PAGE
 
 
@@ -45,19 +45,16 @@ def range_windows(ranges: DataFrame, predictor) -> DataFrame:
 def range_counts(ranges: DataFrame, keys: DataFrame) -> DataFrame:
     """(query_idx, lo, hi, matched): the keys inside each range, as a difference of two ranks: no join."""
     r = ranges.select("query_idx", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
-    below = rank_of(r.withColumn("key", F.col("lo")), keys, False, name="_below").drop("key")
-    upto = rank_of(below.withColumn("key", F.col("hi")), keys, True, name="_upto").drop("key")
-    return upto.withColumn("matched", F.col("_upto") - F.col("_below")).drop("_upto", "_below")
+    return ranks_of_ends(r, keys).select("query_idx", "lo", "hi", (F.col("_upto") - F.col("_below")).alias("matched"))
 
 
 def range_records(ranges: DataFrame, ranked_keys: DataFrame, ipp: int = ITEMS_PER_PAGE) -> DataFrame:
-    """(query_idx, key): every key inside each range. The pages a range covers come from the ranks of its
-    ends; ranges and keys meet by equality on the page, then the bounds are checked."""
+    """(query_idx, key, pos, page_id): every key inside each range. The pages a range covers come from the ranks
+    of its ends; ranges and keys meet by equality on the page, then the ranks are checked."""
     r = ranges.select("query_idx", F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi"))
-    r = rank_of(r.withColumn("key", F.col("lo")), ranked_keys, False, name="_a").drop("key")
-    r = rank_of(r.withColumn("key", F.col("hi")), ranked_keys, True, name="_b").drop("key").where("_b > _a")
-    pages = r.select("query_idx", "lo", "hi", F.explode(F.sequence(page_of(F.col("_a"), ipp), page_of(F.col("_b") - 1, ipp))).alias("page_id"))
-    return pages.join(ranked_keys.select("key", "page_id"), "page_id").where("key between lo and hi").select("query_idx", "key")
+    r = ranks_of_ends(r, ranked_keys).where("_upto > _below")
+    pages = r.select("query_idx", "_below", "_upto", F.explode(F.sequence(page_of(F.col("_below"), ipp), page_of(F.col("_upto") - 1, ipp))).alias("page_id"))
+    return pages.join(ranked_keys.select("key", "pos", "page_id"), "page_id").where("pos >= _below and pos < _upto").select("query_idx", "key", "pos", "page_id")
 
 
 def range_matching(ranges: DataFrame, ranked_keys: DataFrame, probes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.operators.hitmodels import Popularity, clamp, hit_ratio, hit_ratios
-from pagelore.operators.keys import page_of, running_total
+from pagelore.operators.keys import page_of, running, running_total
 from pagelore.schema import ITEMS_PER_PAGE
 
 
@@ -39,7 +39,8 @@ def page_counts_table(ranks: DataFrame, eps: list[int], pages: int, ipp: int = I
 def page_counts_diff(ranks: DataFrame, pages: int, ipp: int = ITEMS_PER_PAGE) -> DataFrame:
     """ranks (pos, eps) -> (page_id, refs): the same counts from difference events. Around its page a lookup's
     weights fall off linearly; the two pieces are four events each of an affine function, whole numbers
-    over 2 eps + 1. Rows grow with lookups + pages, not with eps. eps may differ by lookup."""
+    over 2 eps + 1. Events are summed by page whatever their eps, so rows grow with pages and lookups alone; eps
+    may differ by lookup. Sums are doubles, so counts are good to about 1e-9 and those below 1e-7 are none."""
     q = ranks.groupBy("pos", "eps").agg(F.count("*").alias("n")).select("n", F.col("eps").cast("bigint").alias("e"), page_of(F.col("pos"), ipp).alias("p"), (F.col("pos") % ipp).alias("s"))
     right, left = F.floor((2 * F.col("e") + F.col("s")) / ipp).cast("bigint"), F.floor((2 * F.col("e") - F.col("s") + ipp - 1) / ipp).cast("bigint")
     top_r, top_l = 2 * F.col("e") + 1 + F.col("s") + ipp * F.col("p"), 2 * F.col("e") - F.col("s") + ipp - ipp * F.col("p")
@@ -50,20 +51,13 @@ def page_counts_diff(ranks: DataFrame, pages: int, ipp: int = ITEMS_PER_PAGE) ->
         event(F.col("p") + 1, top_r, F.lit(-ipp)), event(F.col("p") + 1 + right, -top_r, F.lit(ipp)),
         event(F.col("p") - left, top_l, F.lit(ipp)), event(F.col("p"), -top_l, F.lit(-ipp)),
     )
-    x = q.select("e", F.explode(events).alias("x")).select("e", "x.*").where(F.col("at") < pages).groupBy("e", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    spark = ranks.sparkSession
-    errors = q.select("e").distinct()
-    every = spark.range(pages).select(F.col("id").alias("at"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    # Each error bound has its own running totals; they are few beside the lookups.
-    every = every.join(F.broadcast(errors), how="cross") if errors.limit(4097).count() <= 4096 else x.select("e").distinct().join(every, how="cross")
-    x = x.unionByName(every.select("e", "at", "a", "b")).groupBy("e", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    # Totals fall back to zero behind each bound's last page, but for what reaches past the end: begin each bound at its own base.
-    t = running_total(running_total(x, ["e", "at"], "a", "sa"), ["e", "at"], "b", "sb")
-    base = x.groupBy("e").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    before = base.alias("l").join(base.alias("r"), F.col("r.e") < F.col("l.e"), "left").groupBy("l.e").agg(F.coalesce(F.sum("r.ta"), F.lit(0)).alias("ba"), F.coalesce(F.sum("r.tb"), F.lit(0)).alias("bb"))
-    t = t.join(before, "e")
-    refs = (F.col("sa") - F.col("ba") + F.col("at") * (F.col("sb") - F.col("bb"))) / (2 * F.col("e") + 1)
-    return t.select(F.col("at").alias("page_id"), refs.alias("refs")).groupBy("page_id").agg(F.sum("refs").alias("refs")).where("refs > 0")
+    x = q.select("e", F.explode(events).alias("x")).select("e", "x.*").where(F.col("at") < pages)
+    share = lambda c: F.sum(F.col(c) / (2 * F.col("e") + 1))
+    every = ranks.sparkSession.range(pages).select(F.col("id").alias("at"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    x = x.groupBy("at").agg(share("a").alias("a"), share("b").alias("b")).unionByName(every).groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    t = running(x, ["at"], {"sa": "a", "sb": "b"})
+    refs = F.col("sa") + F.col("at") * F.col("sb")
+    return t.select(F.col("at").alias("page_id"), refs.alias("refs")).where("refs > 1e-7")
 
 
 def range_page_counts(windows: DataFrame, pages: int) -> DataFrame:

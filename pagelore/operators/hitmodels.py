@@ -103,11 +103,11 @@ def lfu_hit_ratio(p: Popularity, capacity: float) -> float:
         q, n = p.local
         take = np.clip(room - (np.cumsum(n) - n), 0, n)
         return clamp(float((q * take).sum()))
-    from pyspark.sql import Window
+    from pagelore.operators.keys import running_total
 
-    w = Window.orderBy(F.desc("refs")).rowsBetween(Window.unboundedPreceding, -1)
-    take = F.greatest(F.lit(0), F.least("pages", F.lit(room) - F.coalesce(F.sum("pages").over(w), F.lit(0))))
-    return clamp(p.hist.select((take * F.col("refs")).alias("x")).agg(F.sum("x")).first()[0] / p.total)
+    h = running_total(p.hist.withColumn("_d", -F.col("refs")), ["_d"], "pages", "_upto")
+    take = F.greatest(F.lit(0), F.least(F.col("pages"), F.lit(room) - F.col("_upto") + F.col("pages")))
+    return clamp(h.select((take * F.col("refs")).alias("x")).agg(F.sum("x")).first()[0] / p.total)
 
 
 def hit_ratio(policy: str, capacity: float, p: Popularity) -> float:

@@ -45,17 +45,21 @@ def partition_cost(n: Column, span: Column, distinct: Column, c: JoinCost) -> tu
     return c.point(n, distinct), c.range(span)
 
 
-def partition_probes(probes: DataFrame, keys: DataFrame, eps: int, cost: JoinCost = JoinCost(), chunk: int | None = None, ipp: int = ITEMS_PER_PAGE) -> DataFrame:
+#: Probes that one task partitions from end to end.
+CHUNK = 1 << 20
+
+
+def partition_probes(probes: DataFrame, keys: DataFrame, eps: int, cost: JoinCost = JoinCost(), chunk: int = CHUNK, ipp: int = ITEMS_PER_PAGE) -> DataFrame:
     """probes (query_idx, key) -> (part_id, start, len, is_range, pages, span), in key order.
 
     A partition grows probe by probe; from n_min probes on it is cut when its pages span k_max or a range
-    probe has become clearly cheaper. The scan is sequential; with ``chunk`` it starts anew every so
-    many probes, and chunks run in parallel.
+    probe has become clearly cheaper. The scan is sequential inside chunks of so many probes, which run in
+    parallel; each starts anew, so that the last partition of a chunk may be shorter than one scan would make it.
     """
     s = successor(probes, keys)
     lo, hi = page_of(F.greatest(F.col("pos") - eps, F.lit(0)), ipp), page_of(F.col("pos") + eps, ipp)
     rows = ordinal(s.select("key", "query_idx", lo.alias("lo"), hi.alias("hi")), ["key", "query_idx"], "ord")
-    rows = rows.select((F.floor(F.col("ord") / chunk) if chunk else F.lit(0)).cast("bigint").alias("chunk"), "ord", "lo", "hi")
+    rows = rows.select(F.floor(F.col("ord") / chunk).cast("bigint").alias("chunk"), "ord", "lo", "hi")
 
     def run(batches):
         chunk_at, start, n = None, 0, 0

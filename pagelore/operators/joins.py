@@ -35,8 +35,8 @@ def check_partitions(parts: DataFrame, outer_rows: int) -> None:
 def join(outer: DataFrame, inner: DataFrame, mode: JoinMode | str, parts: DataFrame | None = None) -> DataFrame:
     """(row_id, key) of each outer row with a match, once for each matching inner row.
 
-    point, inlj: the keys are looked up one by one: an equi-join, Spark choosing how. hash: the outer
-    side is hashed; sortmerge: both are sorted. range: inner is first cut to the outer's least and
+    point, inlj: the keys are looked up one by one: an equi-join, Spark choosing how. hash: the inner
+    side, whose keys are unique, is hashed, so no key makes a bucket long; sortmerge: both are sorted. range: inner is first cut to the outer's least and
     greatest key. hybrid: the outer in key order is dealt to partitions of given lengths (part_id, len,
     is_range); point partitions are looked up, range partitions fetch all inner keys between their
     first and last key and merge. inner must hold ``key`` and, for hybrid, pos and page_id.
@@ -45,7 +45,7 @@ def join(outer: DataFrame, inner: DataFrame, mode: JoinMode | str, parts: DataFr
     if mode in (JoinMode.POINT, JoinMode.INLJ):
         return outer.join(inner.select("key"), "key", "left_semi").select("row_id", "key")
     if mode is JoinMode.HASH:
-        return inner.select("key").join(outer.hint("shuffle_hash"), "key").select("row_id", "key")
+        return outer.join(inner.select("key").hint("shuffle_hash"), "key").select("row_id", "key")
     if mode is JoinMode.SORTMERGE:
         return outer.hint("merge").join(inner.select("key").distinct(), "key").select("row_id", "key")
     if mode is JoinMode.RANGE:

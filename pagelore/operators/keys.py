@@ -13,35 +13,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pagelore.runtime import cut
 from pagelore.schema import ITEMS_PER_PAGE, SENTINEL
 
 
-def running_total(df: DataFrame, order: list[str], weight: str | None = None, name: str = "total") -> DataFrame:
-    """df + name: the sum of the integer column weight (or 1) over the rows up to this one in the order."""
+def running(df: DataFrame, order: list[str], cols: dict[str, str | None], how: str = "sum") -> DataFrame:
+    """df + for each name of cols the running sum (or min) of its column, or of 1, over the rows up to this one.
+    All columns share one sort. Sums of integers are exact; those of doubles are added in extended precision."""
     rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    amount = F.coalesce(F.sum(weight), F.lit(0)) if weight else F.count("*")
-    totals = {r.part: r.n for r in rows.groupBy(F.spark_partition_id().alias("part")).agg(amount.cast("bigint").alias("n")).collect()}
-    before, at = {}, 0
-    for part in sorted(totals):
-        before[part] = at
-        at += totals[part]
-    col = df.columns.index(weight) if weight else None
+    kinds = {n: LongType() if c is None or dict(df.dtypes)[c] in ("int", "bigint") else DoubleType() for n, c in cols.items()}
+    of = F.sum if how == "sum" else F.min
+    aggs = [(F.count("*") if c is None else of(c)).alias(n) for n, c in cols.items()]
+    ends = {r.part: r for r in rows.groupBy(F.spark_partition_id().alias("part")).agg(*aggs).collect()}  # a row for each partition
+    before, at = {}, {n: 0 if how == "sum" else None for n in cols}
+    for part in sorted(ends):
+        before[part] = dict(at)
+        for n in cols:
+            x = ends[part][n]
+            at[n] = at[n] if x is None else at[n] + x if how == "sum" else x if at[n] is None else min(at[n], x)
+    index = {n: df.columns.index(c) for n, c in cols.items() if c}
+    fields = [(n, pa.int64() if isinstance(t, LongType) else pa.float64()) for n, t in kinds.items()]
 
     def run(batches):
         from pyspark import TaskContext
 
-        at = before.get(TaskContext.get().partitionId(), 0)
+        at = dict(before.get(TaskContext.get().partitionId(), dict.fromkeys(cols, 0)))
         for b in batches:
-            w = np.ones(b.num_rows, np.int64) if col is None else b.column(col).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            total = at + np.cumsum(w)
-            if len(total):
-                at = int(total[-1])
-            yield pa.record_batch([*b.columns, pa.array(total, pa.int64())], schema=pa.schema([*b.schema, (name, pa.int64())]))
+            out = []
+            for n, t in fields:
+                kind = np.int64 if t == pa.int64() else np.longdouble
+                if how == "sum":
+                    x = np.ones(b.num_rows, kind) if n not in index else b.column(index[n]).fill_null(0).to_numpy(zero_copy_only=False).astype(kind)
+                    x = kind(at[n]) + np.cumsum(x)
+                else:
+                    x = np.minimum.accumulate(b.column(index[n]).to_numpy(zero_copy_only=False).astype(kind))
+                    x = x if at[n] is None else np.minimum(x, kind(at[n]))
+                if len(x):
+                    at[n] = x[-1]
+                out.append(pa.array(x.astype(np.int64 if t == pa.int64() else np.float64), t))
+            yield pa.record_batch([*b.columns, *out], schema=pa.schema([*b.schema, *fields]))
+
+    return rows.mapInArrow(run, StructType([*df.schema.fields, *[StructField(n, t) for n, t in kinds.items()]]))
 
-    return rows.mapInArrow(run, StructType([*df.schema.fields, StructField(name, LongType())]))
+
+def running_total(df: DataFrame, order: list[str], weight: str | None = None, name: str = "total") -> DataFrame:
+    """df + name: the sum of the integer column weight (or 1) over the rows up to this one in the order."""
+    return running(df, order, {name: weight})
 
 
 def ordinal(df: DataFrame, order: list[str], name: str = "pos") -> DataFrame:
@@ -101,6 +120,20 @@ def successor(probes: DataFrame, keys: DataFrame, **kw) -> DataFrame:
     return rank_of(probes, keys, False, name="pos", **kw)
 
 
+def ranks_of_ends(ranges: DataFrame, keys: DataFrame) -> DataFrame:
+    """ranges (query_idx, lo, hi) + _below, _upto: the number of keys < lo and <= hi. Both ends go through one sort
+    of the keys; ranges that repeat a query are told apart by their bounds, repeated ones stay repeated."""
+    ends = ranges.select("query_idx", "lo", "hi", F.explode(F.array(F.lit(-1), F.lit(1))).alias("_tag"))
+    row = F.struct("query_idx", "lo", "hi").alias("_row")
+    p = ends.select(F.when(F.col("_tag") < 0, F.col("lo")).otherwise(F.col("hi")).alias("_k"), "_tag", F.lit(0).cast("bigint").alias("_w"), row)
+    k = keys.select(F.col("key").alias("_k"), F.lit(0).alias("_tag"), F.lit(1).cast("bigint").alias("_w"), F.lit(None).cast(p.schema["_row"].dataType).alias("_row"))
+    r = running_total(k.unionByName(p), ["_k", "_tag", "_row"], "_w", "_n").where("_tag <> 0")
+    side = lambda t: F.max(F.when(F.col("_tag") == t, F.col("_n")))
+    r = r.groupBy("_row").agg(side(-1).alias("_below"), side(1).alias("_upto"), F.count(F.when(F.col("_tag") == 1, 1)).alias("_times"))
+    r = r.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times"))))
+    return r.select("_row.*", "_below", "_upto")
+
+
 def gap_stats(ranked_keys: DataFrame) -> DataFrame:
     """Mean and population deviation of the gaps between neighbours, and kappa = mean^2 / variance.
     Neighbours meet by an equi-join on the rank, not in a single-partition window."""

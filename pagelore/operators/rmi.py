@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.operators.keys import ordinal
+from pagelore.operators.keys import ordinal, running
 from pagelore.runtime import stored
 
 TOP_ONLY = ("radix", "radix8", "radix12", "normal", "lognormal", "loglinear", "robust_linear", "histogram", "bradix")
@@ -238,10 +238,12 @@ def collect_records(model: Rmi, probes: DataFrame, ranked_keys: DataFrame, max_e
 
 
 def pareto_front(configs: DataFrame, size: str = "size", err: str = "avg_log2") -> DataFrame:
-    """configs that no other beats in one of size and error without losing in the other."""
-    o = configs.select(F.col(size).alias("_s"), F.col(err).alias("_e"))
-    beats = ((F.col("_s") <= F.col(size)) & (F.col("_e") < F.col(err))) | ((F.col("_s") < F.col(size)) & (F.col("_e") <= F.col(err)))
-    return configs.join(o, beats, "left_anti")
+    """configs that no other beats in one of size and error without losing in the other: those with the least
+    error of their size, if it is less than that of every smaller size. One running minimum over sizes."""
+    least = running(configs.groupBy(F.col(size).alias("_s")).agg(F.min(F.col(err).cast("double")).alias("_e")), ["_s"], {"_upto": "_e"}, "min")
+    # The least error up to a size is first reached at the size that is on the front.
+    first = least.groupBy("_upto").agg(F.min("_s").alias("_s")).select("_s", F.col("_upto").alias("_e"))
+    return configs.join(first, (F.col(size) == F.col("_s")) & (F.col(err) == F.col("_e"))).select(*configs.columns)
 
 
 def narrow(front: list[dict], keep: int, size: str = "size", err: str = "avg_log2") -> list[dict]:

@@ -137,8 +137,7 @@ def range_lookup_counts(spark, d):
 )
 def range_lookup(spark, d):
     """Every record of every range, summed up by range."""
-    k = I.events_keys(spark, d)
-    return access.range_records(I.event_ranges(spark, d), k).join(k.select("key", "pos"), "key").groupBy("query_idx").agg(F.count("*").alias("records"), F.sum("pos").alias("pos_sum"))
+    return access.range_records(I.event_ranges(spark, d), I.events_keys(spark, d)).groupBy("query_idx").agg(F.count("*").alias("records"), F.sum("pos").alias("pos_sum"))
 
 
 @query(
@@ -200,11 +199,10 @@ def sort_budget(spark, d):
 )
 def star_profit(spark, d):
     """The star query: five dimensions, equality and between predicates, a sum by three keys."""
-    for t in ("lineitem", "orders", "customer", "supplier", "nation", "region", "part"):
-        table(spark, d, t).createOrReplaceTempView(t)
+    tables = {t: table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier", "nation", "region", "part")}
     return spark.sql("""
         SELECT cast(year(o_orderdate) AS bigint) AS o_orderdate_year, n_name, p_brand, round(sum(l_extendedprice * (1 - l_discount) - 0.5 * p_retailprice * l_quantity), 2) AS profit
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-        JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey
-        WHERE r_name = (SELECT min(r_name) FROM region) AND p_size BETWEEN 1 AND 15
-        GROUP BY o_orderdate_year, n_name, p_brand ORDER BY o_orderdate_year, n_name, p_brand""")
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
+        JOIN {nation} ON s_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey JOIN {part} ON l_partkey = p_partkey
+        WHERE r_name = (SELECT min(r_name) FROM {region}) AND p_size BETWEEN 1 AND 15
+        GROUP BY o_orderdate_year, n_name, p_brand ORDER BY o_orderdate_year, n_name, p_brand""", **tables)

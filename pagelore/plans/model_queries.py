@@ -45,7 +45,7 @@ def pgm_range_lookup(spark, d):
     k = I.events_keys(spark, d)
     r = I.event_ranges(spark, d)
     w = access.range_windows(r, Pgm(k, pgm.build(k, EPS), EPS)).select("query_idx", "page_lo", "page_hi")
-    found = access.range_records(r, k).join(k.select("key", "page_id"), "key").groupBy("query_idx").agg(F.count("*").alias("matched"), F.min("page_id").alias("a"), F.max("page_id").alias("b"))
+    found = access.range_records(r, k).groupBy("query_idx").agg(F.count("*").alias("matched"), F.min("page_id").alias("a"), F.max("page_id").alias("b"))
     return found.join(w, "query_idx").select("query_idx", "matched", ((F.col("a") >= F.col("page_lo")) & (F.col("b") <= F.col("page_hi"))).alias("covered"))
 
 
@@ -260,12 +260,13 @@ def sort_cache_tradeoff(spark, d):
     from pagelore.operators.predict import Exact
 
     k, p = I.events_keys(spark, d), I.event_probes(spark, d)
-    n, memory = p.count(), 20 * 4096
+    n = p.count()
+    memory = sort_budget_bytes(n) + 12 * 4096
     cfg = lambda m: [{"policy": x, "capacity": cache.capacity_pages(m)} for x in ("FIFO", "LRU", "LFU")]
     mix = keys.ordinal(p.select(F.xxhash64("query_idx").alias("_o"), "query_idx", "key"), ["_o", "query_idx"], "at").select(F.col("at").alias("query_idx"), "key")
     a = cache.replay_summary(cache.replay(access.page_trace(access.point_lookup(mix, k, Exact(k, 64))), cfg(memory))).withColumn("order", F.lit("original"))
     by_key = keys.ordinal(p.select("key", "query_idx"), ["key", "query_idx"], "at").select(F.col("at").alias("query_idx"), "key")
-    left = max(4096, memory - min(sort_budget_bytes(n), memory // 2))
+    left = max(0, memory - sort_budget_bytes(n))
     b = cache.replay_summary(cache.replay(access.page_trace(access.point_lookup(by_key, k, Exact(k, 64))), cfg(left))).withColumn("order", F.lit("sorted"))
     return a.unionByName(b)
 

@@ -12,6 +12,7 @@ shared stores do. Files are read by byte range, one partition each; nothing is r
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,11 @@ TYPES = {"uint64": "<u8", "int64": "<i8", "uint32": "<u4", "uint8": "u1", "float
 
 
 def resolve_path(path: str, folder: str | None = None) -> str:
-    """Absolute paths and URIs as they are, existing ones made absolute, others in DATASETS_DIRECTORY or folder."""
-    if "://" in path or os.path.isabs(path):
+    """Absolute paths and URIs as they are (a file URI as its path), existing ones made absolute, others in
+    DATASETS_DIRECTORY or folder."""
+    if path.startswith("file:"):
+        return re.sub("^file:/*", "/", path)
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) or os.path.isabs(path):
         return path
     if os.path.exists(path):
         return os.path.abspath(path)
@@ -33,7 +37,7 @@ def resolve_path(path: str, folder: str | None = None) -> str:
 
 
 def _open(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return (pafs.LocalFileSystem(), path) if os.path.isabs(path) else pafs.FileSystem.from_uri(path)
 
 
 def parts_of(path: str) -> list[tuple[str, int]]:

@@ -110,7 +110,7 @@ def test_partitioner(spark, inner):
     rows = [(i, rng.choice(ks[: 500 if i % 3 else 6000])) for i in range(3000)]
     probes = spark.createDataFrame(rows, "query_idx bigint, key bigint")
     cost = join_cost.JoinCost(n_min=100, k_max=6)
-    for chunk in (None, 700):
+    for chunk in (join_cost.CHUNK, 700):
         parts = join_cost.partition_probes(probes, inner, 16, cost, chunk).orderBy("part_id").collect()
         assert sum(p.len for p in parts) == 3000 and [p.start for p in parts] == list(np.cumsum([0, *[p.len for p in parts]])[:-1])
         for p in parts:
