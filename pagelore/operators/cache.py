@@ -125,6 +125,14 @@ def cache_bytes(budget_mode: str, memory: int, n: int = 0, eps: int = 1, measure
     return max(0, left[budget_mode.upper()])
 
 
+def warm_pages(pages: int, capacity: int, seed: int = 42) -> list[int]:
+    """Distinct pages to fill a cache with before a replay: those of least hash, a function of the seed."""
+    import hashlib
+    import heapq
+
+    return heapq.nsmallest(min(pages, capacity), range(pages), key=lambda p: (hashlib.md5(f"{seed}|warm|{p}".encode()).hexdigest()[:13], p))
+
+
 def replay(trace: DataFrame, configs: list[dict], warm: list[int] | None = None) -> DataFrame:
     """trace (query_idx, seq, page_id) through each of configs (policy, capacity, put_mode='immediate') ->
     (config, policy, capacity, query_idx, seq, page_id, hit). warm: pages stored before the first request."""

@@ -13,10 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.operators.keys import ordinal, running
+from pagelore.operators.keys import ordinal, rank_of, running
 from pagelore.runtime import stored
 
-TOP_ONLY = ("radix", "radix8", "radix12", "normal", "lognormal", "loglinear", "robust_linear", "histogram", "bradix")
+TOP_ONLY = ("radix", "radix8", "radix18", "radix22", "radix26", "radix28", "normal", "lognormal", "loglinear", "robust_linear", "histogram", "bradix")
 ANYWHERE = ("linear", "linear_spline", "cubic")
 
 
@@ -32,7 +32,7 @@ def _line(slope, at_x, at_y):
 
 
 def fit(points: DataFrame, kind: str, x: str = "key", y: str = "pos"):
-    """A function of a key column from points (x, y); without points it predicts 0."""
+    """A function of a key column, or Steps, from points (x, y); without points it predicts 0."""
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
     if kind == "linear":
         r = points.agg(F.regr_slope(Y, X).alias("b"), F.avg(X).alias("mx"), F.avg(Y).alias("my")).first()
@@ -60,14 +60,11 @@ def fit(points: DataFrame, kind: str, x: str = "key", y: str = "pos"):
         return phi
     if kind == "cubic":
         return _cubic(points, x, y)
-    if kind in ("radix", "bradix"):
-        r = points.agg(F.min(F.col(x)).alias("a"), F.max(F.col(x)).alias("b"), F.max(Y).alias("top")).first()
-        if r.a is None:
-            return lambda c: F.lit(0.0)
-        shared = common_prefix_bits(int(r.a), int(r.b))
-        width = max(1, int(r.top or 0).bit_length())
-        shift, base = max(0, 64 - shared - width), int(r.a) >> (64 - shared) << (64 - shared) if shared < 64 else int(r.a)
-        return lambda c: F.floor((c - base) / float(1 << shift)) if kind == "radix" else F.least(F.lit(r.top), F.floor((c - base) / float(1 << shift)))
+    if kind == "radix":
+        r = _ends(points, x, y)
+        return (lambda c: F.lit(0.0)) if r.a is None else _top_bits(int(r.a), int(r.b), max(1, int(r.top or 0).bit_length()))
+    if kind == "bradix":
+        return _balanced(points, x, y)
     if kind.startswith("radix"):
         return _radix_table(points, int(kind[5:]), x, y)
     if kind == "histogram":
@@ -103,56 +100,103 @@ def _cubic(points, x, y):
     return cubic if off.c <= off.l else line
 
 
+def _ends(points, x, y):
+    return points.agg(F.min(F.col(x)).alias("a"), F.max(F.col(x)).alias("b"), F.max(F.col(y).cast("double")).alias("top"), F.count("*").alias("n")).first()
+
+
+def _top_bits(a: int, b: int, bits: int):
+    """The key's first bits behind the prefix that a and b share, as a number."""
+    shared = common_prefix_bits(a, b)
+    shift, base = max(0, 64 - shared - bits), a >> (64 - shared) << (64 - shared) if shared < 64 else a
+    return lambda c: F.floor((c - base) / float(1 << shift))
+
+
+def _balanced(points, x, y):
+    """Top bits whose excess over the outputs is cut off at one end: of two widths and both ends the choice that
+    deals keys most evenly, by chi square. All choices are counted in one aggregation."""
+    r = _ends(points, x, y)
+    top = int(r.top or 0)
+    if r.a is None or top < 1:
+        return lambda c: F.lit(0.0)
+    choices = []
+    for bits in range(top.bit_length(), min(top.bit_length() + 2, 64)):
+        of, spare = _top_bits(int(r.a), int(r.b), bits), top - ((1 << (bits + 1)) - 1)
+        choices.append(lambda c, of=of: F.least(of(c), F.lit(top - 1)))
+        if spare >= 0:
+            choices.append(lambda c, of=of, spare=spare: F.greatest(of(c) - spare, F.lit(0)))
+    bins = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), f(F.col(x).cast("double")).cast("bigint").alias("bin")) for i, f in enumerate(choices)])).alias("z")
+    # The sum of (count - mean)^2 / mean over all bins differs from that of count^2 by constants.
+    squares = points.select(bins).select("z.*").groupBy("i", "bin").count().groupBy("i").agg(F.sum((F.col("count") * F.col("count")).cast("double")).alias("s")).collect()
+    return choices[min((q.s, q.i) for q in squares)[1]]
+
+
+class Steps:
+    """A step function as a table: ascending (s, v). A key takes the value of the last s at or below its slot or, with
+    ``above``, of the first at or above it. Looked up by an as-of join, so the table may have any size."""
+
+    def __init__(self, steps: DataFrame, slot, above: bool, otherwise: float):
+        self.steps, self.slot, self.above, self.otherwise = stored(ordinal(steps, ["s"], "_i"), "steps"), slot, above, otherwise
+
+    def scores(self, df: DataFrame) -> DataFrame:
+        """df (key, ...) + _top."""
+        p = df.select(F.struct(*df.columns).alias("_df"), self.slot(F.col("key")).cast("bigint").alias("key"), F.monotonically_increasing_id().alias("query_idx"))
+        r = rank_of(p, self.steps.withColumnRenamed("s", "key"), not self.above, name="_n")
+        r = r.withColumn("_i", F.col("_n") - (0 if self.above else 1))
+        return r.join(self.steps.select("_i", "v"), "_i", "left").select("_df.*", F.coalesce("v", F.lit(self.otherwise)).alias("_top"))
+
+
 def _radix_table(points, bits, x, y):
     """The first rank under each value of the key's top bits behind the shared prefix; a value without keys
-    has the next one's. The table is part of the expression, so it takes at most 2^12 entries."""
-    if not 1 <= bits <= 12:
-        raise ValueError("a radix table has 1 to 12 bits")
-    r = points.agg(F.min(F.col(x)).alias("a"), F.max(F.col(x)).alias("b"), F.max(F.col(y)).alias("top")).first()
+    has the next one's. Only values with keys are stored, so 28 bits are as good as 8."""
+    if not 1 <= bits <= 28:
+        raise ValueError("a radix table has 1 to 28 bits")
+    r = _ends(points, x, y)
+    if r.a is None:
+        return lambda c: F.lit(0.0)
+    of = _top_bits(int(r.a), int(r.b), bits)
+    slot = lambda c: F.least(F.greatest(of(c.cast("double")), F.lit(0)), F.lit((1 << bits) - 1))
+    return Steps(points.groupBy(slot(F.col(x)).cast("bigint").alias("s")).agg(F.min(F.col(y).cast("double")).alias("v")), slot, True, float(r.top))
+
+
+def _histogram(points, x, y):
+    """Equi-depth: as many bins as the greatest output; a key predicts the last bin that starts at or below it."""
+    r = _ends(points, x, y)
     if r.a is None:
         return lambda c: F.lit(0.0)
-    shift = max(0, 64 - common_prefix_bits(int(r.a), int(r.b)) - bits)
-    base = int(r.a) >> (shift + bits) << (shift + bits)
-    slot = lambda c: F.least(F.greatest(F.floor((c - base) / float(1 << shift)), F.lit(0)), F.lit((1 << bits) - 1)).cast("int")
-    first = dict(points.groupBy(slot(F.col(x)).alias("s")).agg(F.min(F.col(y).cast("double")).alias("p")).collect())
-    table, last = [0.0] * (1 << bits), float(r.top)
-    for s in reversed(range(1 << bits)):
-        last = table[s] = first.get(s, last)
-    arr = F.array(*[F.lit(v) for v in table])
-    return lambda c: F.element_at(arr, slot(c) + 1)
-
-
-def _histogram(points, x, y, bins: int = 4096):
-    """Equi-depth: a key predicts the bin that its rank falls into; pivots are every depth-th key."""
-    n = points.count()
-    top = points.agg(F.max(F.col(y))).first()[0] or 0
-    bins = max(1, min(bins, int(top) or 1))
-    depth = max(1, n // bins)
-    pivots = sorted(r[0] for r in ordinal(points.select(x, y), [x, y], "_o").where(F.col("_o") % depth == 0).select(x).limit(bins + 2).collect())
-    arr = F.array(*[F.lit(float(p)) for p in pivots]) if pivots else None
-    return lambda c: F.greatest(F.lit(0), F.size(F.filter(arr, lambda p: p <= c)) - 1).cast("double") if arr is not None else F.lit(0.0)
+    bins = max(1, int(r.top or 0))
+    depth = max(1, r.n // bins)
+    at = ordinal(points.select(x, y), [x, y], "_o").where((F.col("_o") % depth == 0) & (F.col("_o") < bins * depth))
+    return Steps(at.groupBy(F.col(x).alias("s")).agg(F.max(F.col("_o") / depth).alias("v")), lambda c: c, False, 0.0)
 
 
 class Rmi:
-    """leaves: (leaf_id, a, x0, y0, err): pred = y0 + a (x - x0), cut to [0, n - 1]."""
+    """leaves: (leaf_id, a, x0, y0, err): pred = y0 + a (x - x0), cut to [0, n - 1]; cubic ones have w, m0 and m1 too."""
 
-    def __init__(self, top, leaves: DataFrame, bf: int, n: int):
-        self.top, self.leaves, self.bf, self.n = top, leaves, bf, n
+    def __init__(self, top, leaves: DataFrame, bf: int, n: int, cubic: bool = False):
+        self.top, self.leaves, self.bf, self.n, self.cubic = top, leaves, bf, n, cubic
 
-    def route(self, key: Column) -> Column:
-        return F.least(F.greatest(F.floor(self.top(key.cast("double"))), F.lit(0)), F.lit(self.bf - 1)).cast("int")
+    def routed(self, rows: DataFrame) -> DataFrame:
+        """rows (key, ...) + leaf_id."""
+        steps = isinstance(self.top, Steps)
+        rows = self.top.scores(rows) if steps else rows
+        top = F.col("_top") if steps else self.top(F.col("key").cast("double"))
+        return rows.withColumn("leaf_id", F.least(F.greatest(F.floor(top), F.lit(0)), F.lit(self.bf - 1)).cast("int")).drop("_top")
 
     def predict(self, probes: DataFrame) -> DataFrame:
         """probes + leaf_id, err, pred."""
-        p = probes.withColumn("leaf_id", self.route(F.col("key"))).join(self.leaves, "leaf_id", "left")
-        return p.withColumn("pred", _cut(_at(F.col("key")), self.n)).withColumn("err", F.coalesce("err", F.lit(0).cast("bigint"))).drop("a", "x0", "y0")
+        p = self.routed(probes).join(self.leaves, "leaf_id", "left")
+        return p.withColumn("pred", _cut(_at(F.col("key"), self.cubic), self.n)).withColumn("err", F.coalesce("err", F.lit(0).cast("bigint"))).drop("a", "x0", "y0", "w", "m0", "m1")
 
     def size_bytes(self) -> int:
-        return 16 + 24 * self.bf
+        return 16 + (40 if self.cubic else 24) * self.bf
 
 
-def _at(key):
-    return F.col("y0") + F.col("a") * (key.cast("double") - F.col("x0"))
+def _at(key, cubic: bool = False):
+    line = F.col("y0") + F.col("a") * (key.cast("double") - F.col("x0"))
+    if not cubic:
+        return line
+    t, m0, m1 = (key.cast("double") - F.col("x0")) / F.col("w"), F.col("m0"), F.col("m1")
+    return F.when(m0.isNull(), line).otherwise(F.col("y0") + F.col("a") * F.col("w") * t * (m0 + t * ((3 - 2 * m0 - m1) + t * (m0 + m1 - 2))))
 
 
 def _cut(pred, n):
@@ -160,14 +204,14 @@ def _cut(pred, n):
 
 
 def train(ranked_keys: DataFrame, top: str = "linear", leaf: str = "linear", bf: int = 64) -> Rmi:
-    """The top model is fitted on ranks scaled to [0, bf). Leaf kinds: linear, linear_spline, and cubic,
-    which as a leaf is its straight line. Empty leaves have no row: they predict 0 with error 0."""
+    """The top model is fitted on ranks scaled to [0, bf). Leaf kinds: linear, linear_spline and cubic. Empty
+    leaves have no row: they predict 0 with error 0."""
     validate(top, leaf)
     k = ranked_keys.select("key", "pos")
     n = k.count()
     scaled = k.withColumn("pos", F.col("pos") * (bf / max(1, n)))
-    model = Rmi(fit(scaled, top), None, bf, n)
-    routed = stored(k.withColumn("leaf_id", model.route(F.col("key"))), "routed")
+    model = Rmi(fit(scaled, top), None, bf, n, leaf == "cubic")
+    routed = stored(model.routed(k), "routed")
     ends = routed.groupBy("leaf_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count("*").alias("keys"))
     ends = stored(ordinal(ends, ["leaf_id"], "_o"), "ends")
     before = ends.select((F.col("_o") + 1).alias("_o"), F.col("last_key").alias("prev_key"), F.col("last_pos").alias("prev_pos"))
@@ -180,15 +224,35 @@ def train(ranked_keys: DataFrame, top: str = "linear", leaf: str = "linear", bf:
         g = points.groupBy("leaf_id").agg(F.coalesce(F.regr_slope(Y, X), F.lit(0.0)).alias("a"), F.avg(X).alias("x0"), F.avg(Y).alias("y0"))
     else:
         slope = (F.max(Y) - F.min(Y)) / F.nullif(F.max(X) - F.min(X), F.lit(0.0))
-        g = points.groupBy("leaf_id").agg(F.coalesce(slope, F.lit(0.0)).alias("a"), F.min(X).alias("x0"), F.min(Y).alias("y0"))
-    own = routed.join(g, "leaf_id").groupBy("leaf_id").agg(F.max(F.abs(_cut(_at(F.col("key")), n) - F.col("pos"))).alias("own"))
+        g = points.groupBy("leaf_id").agg(F.coalesce(slope, F.lit(0.0)).alias("a"), F.min(X).alias("x0"), F.min(Y).alias("y0"), F.max(X).alias("x1"), F.max(Y).alias("y1"))
+        g = _cubic_leaves(points, g) if leaf == "cubic" else g.drop("x1", "y1")
+    at = lambda key: _cut(_at(key, model.cubic), n)
+    own = routed.join(g, "leaf_id").groupBy("leaf_id").agg(F.max(F.abs(at(F.col("key")) - F.col("pos"))).alias("own"))
     g = g.join(own, "leaf_id").join(ends.select("leaf_id", "prev_key", "prev_pos", "next_key", "next_pos"), "leaf_id")
-    gap_up = F.abs(_cut(_at(F.col("next_key") - 1), n) - F.col("next_pos"))
-    gap_down = F.abs(_cut(_at(F.col("prev_key") + 1), n) - F.col("prev_pos"))
-    model.leaves = stored(g.select("leaf_id", "a", "x0", "y0", F.greatest("own", F.when(F.col("next_key").isNotNull(), gap_up), F.when(F.col("prev_key").isNotNull(), gap_down)).alias("err")), "leaves")
+    gap_up = F.abs(at(F.col("next_key") - 1) - F.col("next_pos"))
+    gap_down = F.abs(at(F.col("prev_key") + 1) - F.col("prev_pos"))
+    model.leaves = stored(g.select("leaf_id", "a", "x0", "y0", *(["w", "m0", "m1"] if model.cubic else []), F.greatest("own", F.when(F.col("next_key").isNotNull(), gap_up), F.when(F.col("prev_key").isNotNull(), gap_down)).alias("err")), "leaves")
     return model
 
 
+def _cubic_leaves(points: DataFrame, ends: DataFrame) -> DataFrame:
+    """Leaves (leaf_id, a, x0, y0, x1, y1) -> a, x0, y0, w, m0, m1: end slopes in units of the leaf's box, from the
+    points nearest to its ends; null where the straight line is nearer to the points on the whole."""
+    X, Y = F.col("key").cast("double"), F.col("pos").cast("double")
+    box = ends.withColumns({"w": F.col("x1") - F.col("x0"), "h": F.col("y1") - F.col("y0")})
+    p = points.join(box, "leaf_id")
+    inner = p.where((X > F.col("x0")) & (X < F.col("x1")))
+    sx, sy = (X - F.col("x0")) / F.col("w"), (Y - F.col("y0")) / F.nullif(F.col("h"), F.lit(0.0))
+    slope = inner.groupBy("leaf_id").agg(F.min_by(sy / sx, X).alias("m0"), F.max_by((1 - sy) / (1 - sx), X).alias("m1"))
+    m = box.join(slope, "leaf_id", "left")
+    long = F.sqrt(F.col("m0") * F.col("m0") + F.col("m1") * F.col("m1"))
+    m = m.withColumn("_f", F.when(long > 3, 3 / long).otherwise(F.lit(1.0))).withColumns({c: F.when((F.col("w") > 0) & (F.col("h") > 0), F.coalesce(F.col(c) * F.col("_f"), F.lit(1.0))) for c in ("m0", "m1")})
+    m = stored(m.select("leaf_id", "a", "x0", "y0", "w", "m0", "m1"), "cubics")
+    off = points.join(m, "leaf_id").groupBy("leaf_id").agg(F.sum(F.abs(_at(F.col("key"), True) - Y)).alias("c"), F.sum(F.abs(_at(F.col("key")) - Y)).alias("l"))
+    bent = F.col("c") <= F.col("l")
+    return m.join(off, "leaf_id").select("leaf_id", "a", "x0", "y0", "w", F.when(bent, F.col("m0")).alias("m0"), F.when(bent, F.col("m1")).alias("m1"))
+
+
 def train_bounded(ranked_keys: DataFrame, line: int, top: str = "linear", bf: int = 64) -> tuple[Rmi, DataFrame]:
     """A model over the knots of a line-aligned spline, and the knots (key, rank, pos): a lookup goes to the
     knot before it and interpolates to the next. The spline is one sequential pass, in chunks of keys."""
@@ -256,7 +320,7 @@ def narrow(front: list[dict], keep: int, size: str = "size", err: str = "avg_log
 
 
 def search_space(profile: str = "default", step: int = 1) -> list[tuple[str, str, int]]:
-    tops = ["radix", "robust_linear", *(["normal", "lognormal", "loglinear"] if profile == "disk" else []), *ANYWHERE]
+    tops = ["radix", "radix18", "radix22", "robust_linear", *(["normal", "lognormal", "loglinear"] if profile == "disk" else []), *ANYWHERE]
     last = 27 if profile == "disk" else 24
     return [(t, leaf, 1 << b) for t in tops for leaf in ANYWHERE for b in range(6, last + 1, step)]
 

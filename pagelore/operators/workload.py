@@ -12,8 +12,9 @@ MIXTURES = {"w1": (0.0, 0.0, 1.0), "w2": (0.0, 1.0, 0.0), "w3": (1.0, 0.0, 0.0),
 
 
 def unit(*parts) -> Column:
-    """A number in [0, 1) that is a function of its parts."""
-    return F.shiftrightunsigned(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), 11).cast("double") / float(1 << 53)
+    """A number in [0, 1) that is a function of its parts: 52 bits of the md5 of their texts."""
+    text = F.concat_ws("|", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
 
 
 def zipf_rank(u: Column, n: int, a: float) -> Column:
@@ -28,8 +29,8 @@ def uniform_positions(u: Column, n: int) -> Column:
 def hotspot_positions(u: Column, v: Column, n: int, spots: int, fraction: float, a: float, seed: int) -> Column:
     """One of some spots of fraction x n neighbouring ranks, a Zipf offset inside it."""
     width = max(1, int(n * fraction))
-    starts = np.random.default_rng(seed).integers(0, max(1, n - width + 1), spots)
-    start = F.element_at(F.array(*[F.lit(int(s)) for s in starts]), (F.least(F.floor(u * spots), F.lit(spots - 1)) + 1).cast("int"))
+    spot = F.least(F.floor(u * spots), F.lit(spots - 1)).cast("bigint")
+    start = F.floor(unit(seed, "spot", spot) * max(1, n - width + 1))
     return F.least(start + zipf_rank(v, width, a), F.lit(n - 1)).cast("bigint")
 
 
@@ -42,7 +43,7 @@ def mixture_positions(spark: SparkSession, q: int, n: int, mixture=(0.4, 0.3, 0.
     pos = F.when(F.col("id") < hot, hotspot_positions(F.col("u"), F.col("v"), n, spots, fraction, a, seed)).when(F.col("id") < hot + zipf, zipf_rank(F.col("u"), n, a)).otherwise(uniform_positions(F.col("u"), n))
     from pagelore.operators.keys import ordinal
 
-    mixed = r.select(pos.alias("pos"), F.xxhash64(F.lit(seed), F.lit("o"), "id").alias("_o"), "id")
+    mixed = r.select(pos.alias("pos"), unit(seed, "o", F.col("id")).alias("_o"), "id")
     return ordinal(mixed, ["_o", "id"], "query_idx").select("query_idx", "pos")
 
 
@@ -72,7 +73,7 @@ def windowed_positions(spark, q: int, n: int, mixture=(0.4, 0.3, 0.3), windows:
     pos = F.when(F.col("kind") == 0, hotspot_positions(u, v, n, kw.get("spots", 10), kw.get("fraction", 0.001), a, seed)).when(F.col("kind") == 1, zipf_rank(u, n, a)).otherwise(uniform_positions(u, n))
     from pagelore.operators.keys import ordinal
 
-    s = slots.select("w", pos.alias("pos"), F.xxhash64(F.lit(seed), "w", "kind", "i").alias("_o"), "kind", "i")
+    s = slots.select("w", pos.alias("pos"), unit(seed, "o", F.col("w"), F.col("kind"), F.col("i")).alias("_o"), "kind", "i")
     return ordinal(s, ["w", "_o", "kind", "i"], "query_idx").select("query_idx", "w", "pos")
 
 

@@ -27,14 +27,64 @@ def replay_lru(spark, d):
     return cache.replay(_trace(spark, d), [{"policy": "LRU", "capacity": 8}]).select("query_idx", F.col("seq").cast("bigint").alias("seq"), "page_id", "hit")
 
 
-@query()
+#: A replay as a fold over the requests in order: the pages held, in the order of eviction, and the hits so far.
+FOLD = """, ordered AS (SELECT list_prepend({{'p': -1::BIGINT, 'held': []::{kind}[], 'hits': []::BOOLEAN[]}}, list({{'p': page_id, 'held': []::{kind}[], 'hits': []::BOOLEAN[]}} ORDER BY i)) AS rows FROM t),
+done AS (SELECT (list_reduce(rows, lambda s, x: {{'p': x.p, 'held': {held}, 'hits': list_append(s.hits, {hit})}})).hits AS h FROM ordered),
+hits AS (SELECT unnest(h) AS hit, generate_subscripts(h, 1) AS i FROM done)"""
+
+
+def _fold(policy, c):
+    if policy == "FIFO":
+        hit = "list_contains(s.held, x.p)"
+        return FOLD.format(kind="BIGINT", hit=hit, held=f"CASE WHEN {hit} THEN s.held WHEN len(s.held) >= {c} THEN list_append(s.held[2:], x.p) ELSE list_append(s.held, x.p) END")
+    if policy == "LRU":
+        hit = "list_contains(s.held, x.p)"
+        return FOLD.format(kind="BIGINT", hit=hit, held=f"CASE WHEN {hit} THEN list_append(list_filter(s.held, lambda e: e <> x.p), x.p) WHEN len(s.held) >= {c} THEN list_append(s.held[2:], x.p) ELSE list_append(s.held, x.p) END")
+    own = "list_filter(s.held, lambda e: e.p = x.p)"
+    least = "list_filter(s.held, lambda e: e.n = list_min(list_transform(s.held, lambda m: m.n)))[1].p"
+    one = "{'p': x.p, 'n': 1::BIGINT}"
+    held = f"CASE WHEN len({own}) > 0 THEN list_append(list_filter(s.held, lambda e: e.p <> x.p), {{'p': x.p, 'n': {own}[1].n + 1}}) WHEN len(s.held) >= {c} THEN list_append(list_filter(s.held, lambda e: e.p <> {least}), {one}) ELSE list_append(s.held, {one}) END"
+    return FOLD.format(kind="STRUCT(p BIGINT, n BIGINT)", hit=f"len({own}) > 0", held=held)
+
+
+def _replay_sql(policy, c=8):
+    return TRACE + _fold(policy, c) + " SELECT t.query_idx, t.seq, t.page_id, hits.hit FROM t JOIN hits USING (i)"
+
+
+@query(_replay_sql("FIFO"), "events_keys event_probes")
 def replay_fifo(spark, d):
-    return cache.replay(_trace(spark, d), [{"policy": "FIFO", "capacity": 8}])
+    return cache.replay(_trace(spark, d), [{"policy": "FIFO", "capacity": 8}]).select("query_idx", F.col("seq").cast("bigint").alias("seq"), "page_id", "hit")
 
 
-@query()
+@query(_replay_sql("LFU"), "events_keys event_probes")
 def replay_lfu(spark, d):
-    return cache.replay(_trace(spark, d), [{"policy": "LFU", "capacity": 8}])
+    return cache.replay(_trace(spark, d), [{"policy": "LFU", "capacity": 8}]).select("query_idx", F.col("seq").cast("bigint").alias("seq"), "page_id", "hit")
+
+
+def _totals_sql(cases):
+    """Requests, hits and means of each (policy, capacity)."""
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({TRACE}{_fold(p, c)} SELECT '{p}' AS policy, {c}::INTEGER AS capacity, (SELECT count(DISTINCT query_idx) FROM t) AS queries, count(*) AS total_dac, count(*) FILTER (WHERE hit) AS total_hits, count(*) FILTER (WHERE NOT hit) AS total_misses, round(avg(hit::INTEGER), 9) AS hit_ratio FROM hits)"
+        for p, c in cases
+    )
+
+
+@query(_totals_sql([(p, c) for p in ("FIFO", "LRU", "LFU") for c in (2, 8)]), "events_keys event_probes")
+def replay_totals(spark, d):
+    """Every policy, two capacities, pages stored right after their miss."""
+    cfg = [{"policy": p, "capacity": c} for p in ("FIFO", "LRU", "LFU") for c in (2, 8)]
+    return cache.replay_summary(cache.replay(_trace(spark, d), cfg)).select("policy", "capacity", "queries", "total_dac", "total_hits", "total_misses", F.round("hit_ratio", 9).alias("hit_ratio"))
+
+
+@query(
+    TRACE + """, pg AS (SELECT DISTINCT page_id FROM t), seen AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS nth FROM t)
+SELECT count(*) AS requests, count(*) FILTER (WHERE nth > 1 OR page_id < 20) AS hits FROM seen""",
+    "events_keys event_probes",
+)
+def replay_warmed(spark, d):
+    """A cache that holds everything, filled with the first twenty pages before the first request."""
+    r = cache.replay(_trace(spark, d), [{"policy": "LRU", "capacity": 1 << 20}], warm=list(range(20)))
+    return r.agg(F.count("*").alias("requests"), F.sum(F.col("hit").cast("bigint")).alias("hits"))
 
 
 @query()
@@ -178,11 +228,27 @@ def distinct_page_union(spark, d):
     return costs.distinct_pages(Exact(k, EPS).windows(p))
 
 
-@query()
+#: Hit ratios of a relation g(eps, page_id, refs) for caps m(memory, eps, cap): characteristic times by bisection for LRU and FIFO.
+CAPPED = """, tot AS (SELECT eps, sum(refs) AS total, count(*) AS pages FROM g GROUP BY eps), gq AS (SELECT g.eps, g.refs / total AS q FROM g JOIN tot USING (eps)),
+bis(policy, memory, eps, cap, i, lo, hi) AS (SELECT policy, memory, m.eps, cap, 0, 0.0::DOUBLE, 1e9::DOUBLE FROM m JOIN tot USING (eps), (VALUES ('LRU'), ('FIFO')) p(policy) WHERE cap >= 1 AND cap < pages UNION ALL
+  SELECT b.policy, b.memory, b.eps, b.cap, b.i + 1, CASE WHEN s.v < b.cap THEN (b.lo + b.hi) / 2 ELSE b.lo END, CASE WHEN s.v < b.cap THEN b.hi ELSE (b.lo + b.hi) / 2 END
+  FROM bis b, LATERAL (SELECT sum(CASE b.policy WHEN 'LRU' THEN 1 - exp(-q * (b.lo + b.hi) / 2) ELSE q * (b.lo + b.hi) / 2 / (1 - q + q * (b.lo + b.hi) / 2) END) AS v FROM gq WHERE gq.eps = b.eps) s WHERE b.i < 90),
+tt AS (SELECT policy, memory, eps, cap, (lo + hi) / 2 AS t FROM bis WHERE i = 90),
+hr AS (SELECT policy, memory, tt.eps, cap, sum(q * CASE policy WHEN 'LRU' THEN 1 - exp(-q * t) ELSE q * t / (1 - q + q * t) END) AS h FROM tt JOIN gq ON gq.eps = tt.eps GROUP BY policy, memory, tt.eps, cap
+  UNION ALL SELECT policy, memory, eps, cap, 1 FROM m JOIN tot USING (eps), (VALUES ('LRU'), ('FIFO')) p(policy) WHERE cap >= pages
+  UNION ALL SELECT 'LFU', memory, eps, cap, sum(refs) FILTER (WHERE r <= cap) / any_value(total) FROM (SELECT m.memory, g.eps, m.cap, refs, total, row_number() OVER (PARTITION BY m.memory, g.eps ORDER BY refs DESC) AS r FROM m JOIN g USING (eps) JOIN tot USING (eps)) WHERE cap >= 1 GROUP BY memory, eps, cap)"""
+POINT_SWEEP = RANKS.replace("WITH ", "WITH RECURSIVE ", 1) + _weights("(VALUES (8), (16), (32), (64), (128)) e(eps)") + """, g AS (SELECT eps, page_id, sum(p) AS refs, max(p >= 1) AS certain, sum(CASE WHEN p < 1 THEN ln(1 - p) ELSE 0 END) AS lm FROM c GROUP BY ALL),
+m AS (SELECT memory, eps, (memory - (16 * (SELECT count(*) FROM events_keys)) // (2 * eps)) // 4096 AS cap FROM (VALUES (65536), (131072)) b(memory), (VALUES (8), (16), (32), (64), (128)) e(eps))""" + CAPPED + """,
+once AS (SELECT eps, 1 - sum(CASE WHEN certain THEN 1 ELSE 1 - exp(lm) END) / sum(refs) AS most FROM g GROUP BY eps)
+SELECT policy, memory::BIGINT AS memory, eps::INTEGER AS eps, cap AS cache_pages, round(greatest(least(h, most), 0), 5) AS hit_ratio, 1 + 2 * eps / 512 AS dac, round((1 - greatest(least(h, most), 0)) * (1 + 2 * eps / 512), 5) AS cost FROM hr JOIN once USING (eps)"""
+
+
+@query(POINT_SWEEP, "events_keys event_probes")
 def point_cost_sweep(spark, d):
     """Cost of each (policy, memory, eps): characteristic times are solved numerically."""
     r, n = _ranks(spark, d)
-    return costs.point_costs(r, n, [8, 16, 32, 64, 128], [65_536, 131_072], ("FIFO", "LRU", "LFU"))
+    c = costs.point_costs(r, n, [8, 16, 32, 64, 128], [65_536, 131_072], ("FIFO", "LRU", "LFU"))
+    return c.withColumns({"hit_ratio": F.round("hit_ratio", 5), "cost": F.round("cost", 5)})
 
 
 @query(
@@ -200,7 +266,16 @@ def cold_start_cap(spark, d):
     return costs.point_costs(r, n, [16, 64], [65_536], ("LFU",)).select("eps", "cache_pages", F.round("hit_ratio", 6).alias("hit_ratio"), F.round("cost", 6).alias("cost"))
 
 
-@query()
+@query(
+    RANGE_RANKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, pg AS (SELECT (count(*) + 511) // 512 AS pages FROM events_keys),
+w AS (SELECT eps, least(greatest(floor((rank_lo - 2 * eps) / 512), 0), pages - 1)::BIGINT AS a, least(greatest(floor((rank_hi + 2 * eps) / 512), 0), pages - 1)::BIGINT AS b FROM rr, pg, (VALUES (8), (64)) e(eps)),
+g AS (SELECT eps, page_id, count(*)::DOUBLE AS refs FROM (SELECT eps, unnest(range(a, b + 1)) AS page_id FROM w) GROUP BY ALL),
+m AS (SELECT 65536 AS memory, eps, (65536 - (16 * (SELECT count(*) FROM events_keys)) // (2 * eps)) // 4096 AS cap FROM (VALUES (8), (64)) e(eps))""" + CAPPED + """,
+once AS (SELECT eps, sum(refs) / (SELECT count(*) FROM rr) AS dac, 1 - count(*) / sum(refs) AS most FROM g GROUP BY eps)
+SELECT policy, memory::BIGINT AS memory, eps::INTEGER AS eps, cap AS cache_pages, round(greatest(least(h, most), 0), 5) AS hit_ratio, round(dac, 6) AS dac, round((1 - greatest(least(h, most), 0)) * dac, 5) AS cost FROM hr JOIN once USING (eps)""",
+    "events_keys event_ranges",
+)
 def range_cost_sweep(spark, d):
     r, n = range_ranks(spark, d)
-    return costs.range_costs(r, n, [8, 64], [65_536], ("LRU", "LFU"))
+    c = costs.range_costs(r, n, [8, 64], [65_536], ("FIFO", "LRU", "LFU"))
+    return c.withColumns({"hit_ratio": F.round("hit_ratio", 5), "dac": F.round("dac", 6), "cost": F.round("cost", 5)})

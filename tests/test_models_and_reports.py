@@ -142,8 +142,8 @@ def test_workloads_are_repeatable(spark, inner):
 
 def test_tuners(spark, inner):
     law = tune.fit_power_law({e: int(5000 * e**-1.5 + 40) for e in (2, 4, 8, 16, 32)})
-    assert abs(law(8) / (5000 * 8**-1.5 + 40) - 1) < 0.1 and law.kind == "log_grid"
-    assert tune.fit_power_law({}).kind == "degenerate_zero" and tune.fit_power_law({4: 9})(100) == 9
+    assert all(abs(law(e) / (5000 * e**-1.5 + 40) - 1) < 0.01 for e in (2, 5, 8, 32))
+    assert tune.fit_power_law({})(7) == 0 and tune.fit_power_law({4: 9})(100) == 9 == tune.fit_power_law({4: 9, 0: 3})(1)
     sizes = {e: 20_000 // e for e in range(1, 5000)}
     eps, _ = tune.tune_for_space(inner, 500, 2, 4096, tolerance=0, measure=sizes.get)
     assert sizes[eps] <= 500 < sizes[eps - 1]
