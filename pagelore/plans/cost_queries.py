@@ -33,7 +33,7 @@ done AS (SELECT (list_reduce(rows, lambda s, x: {{'p': x.p, 'held': {held}, 'hit
 hits AS (SELECT unnest(h) AS hit, generate_subscripts(h, 1) AS i FROM done)"""
 
 
-def _fold(policy, c):
+def fold(policy, c):
     if policy == "FIFO":
         hit = "list_contains(s.held, x.p)"
         return FOLD.format(kind="BIGINT", hit=hit, held=f"CASE WHEN {hit} THEN s.held WHEN len(s.held) >= {c} THEN list_append(s.held[2:], x.p) ELSE list_append(s.held, x.p) END")
@@ -48,7 +48,7 @@ def _fold(policy, c):
 
 
 def _replay_sql(policy, c=8):
-    return TRACE + _fold(policy, c) + " SELECT t.query_idx, t.seq, t.page_id, hits.hit FROM t JOIN hits USING (i)"
+    return TRACE + fold(policy, c) + " SELECT t.query_idx, t.seq, t.page_id, hits.hit FROM t JOIN hits USING (i)"
 
 
 @query(_replay_sql("FIFO"), "events_keys event_probes")
@@ -64,7 +64,7 @@ def replay_lfu(spark, d):
 def _totals_sql(cases):
     """Requests, hits and means of each (policy, capacity)."""
     return " UNION ALL ".join(
-        f"SELECT * FROM ({TRACE}{_fold(p, c)} SELECT '{p}' AS policy, {c}::INTEGER AS capacity, (SELECT count(DISTINCT query_idx) FROM t) AS queries, count(*) AS total_dac, count(*) FILTER (WHERE hit) AS total_hits, count(*) FILTER (WHERE NOT hit) AS total_misses, round(avg(hit::INTEGER), 9) AS hit_ratio FROM hits)"
+        f"SELECT * FROM ({TRACE}{fold(p, c)} SELECT '{p}' AS policy, {c}::INTEGER AS capacity, (SELECT count(DISTINCT query_idx) FROM t) AS queries, count(*) AS total_dac, count(*) FILTER (WHERE hit) AS total_hits, count(*) FILTER (WHERE NOT hit) AS total_misses, round(avg(hit::INTEGER), 9) AS hit_ratio FROM hits)"
         for p, c in cases
     )
 

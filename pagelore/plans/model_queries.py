@@ -41,6 +41,21 @@ def pgm_segment_bounds(spark, d):
     return pgm.level(k, [4, 16, 64]).select("eps", "seg_id", "key", "points")
 
 
+@query(
+    SEGMENTS + """, k0 AS (SELECT eps, pt.key, (row_number() OVER (PARTITION BY eps ORDER BY first) - 1)::BIGINT AS pos FROM seg JOIN pt ON pt.pos = first),
+p1 AS (SELECT eps, key, pos FROM k0 UNION ALL SELECT eps, max(key) + 1, count(*) FROM k0 GROUP BY eps),
+seg1(eps, first) AS (SELECT eps, 0::BIGINT FROM (SELECT eps FROM k0 GROUP BY eps HAVING count(*) > 1) UNION ALL
+  SELECT seg1.eps, nx.stop FROM seg1, LATERAL (SELECT min(pos) AS stop FROM (SELECT pos, max(lo) OVER (ORDER BY pos) AS lo, min(hi) OVER (ORDER BY pos) AS hi FROM (
+    SELECT b.pos, max((b.pos - a.pos - 8) / (b.key - a.key)) AS lo, min((b.pos - a.pos + 8) / (b.key - a.key)) AS hi FROM p1 a JOIN p1 b ON a.eps = b.eps AND a.pos < b.pos WHERE a.eps = seg1.eps AND a.pos >= seg1.first GROUP BY b.pos)) WHERE lo > hi) nx WHERE nx.stop IS NOT NULL),
+c AS (SELECT eps, (SELECT count(*) FROM k0 WHERE k0.eps = e.eps) AS n0, (SELECT count(*) FROM seg1 WHERE seg1.eps = e.eps) AS n1 FROM (VALUES (4), (16), (64)) e(eps))
+SELECT eps::INTEGER AS epsilon, n0 AS segments, (16 * (n0 + n1 + (n1 > 1)::INTEGER) + 8 * (1 + (n1 > 0)::INTEGER + (n1 > 1)::INTEGER))::BIGINT AS measured_index_bytes FROM c"""
+)
+def pgm_index_sizes_small(spark, d):
+    """Bytes of all levels, the upper ones with an error bound of 4."""
+    k = keys.ranked(table(spark, d, "customer").select(F.round(F.col("c_acctbal") * 100).cast("bigint").alias("key")))
+    return pgm.index_sizes(k, [4, 16, 64])
+
+
 @query()
 def pgm_size(spark, d):
     return pgm.sizes(pgm.build(I.events_keys(spark, d), EPS))

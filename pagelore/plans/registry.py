@@ -6,7 +6,7 @@ from importlib import import_module
 
 from pagelore.plans.base import ORACLES, QUERIES
 
-MODULES = ("access_queries", "cost_queries", "model_queries", "report_queries", "experiments")
+MODULES = ("access_queries", "cost_queries", "model_queries", "report_queries", "file_queries", "experiments")
 for _m in MODULES:
     import_module(f"pagelore.plans.{_m}")
 

@@ -12,6 +12,7 @@ from pagelore.operators import access, cache, costs, keys, report
 from pagelore.operators.predict import Exact
 from pagelore.plans import inputs as I
 from pagelore.plans.base import query
+from pagelore.plans.cost_queries import fold
 from pagelore.runtime import shared_dir, table
 from pagelore.schema import POLICIES
 
@@ -156,11 +157,20 @@ def bench(spark, d, eps, memory, budget_mode="ESTIMATED"):
     return report.union_all(out)
 
 
-@query()
+def _range_bench_sql():
+    trace = """WITH e AS (SELECT query_idx, lo AS key FROM event_ranges UNION ALL SELECT query_idx, hi FROM event_ranges), n AS (SELECT count(*)::BIGINT AS n FROM events_keys),
+r AS (SELECT e.query_idx, coalesce(k.pos, 0) AS pos FROM e ASOF LEFT JOIN events_keys k ON e.key >= k.key),
+w AS (SELECT query_idx, min(greatest(pos - 64, 0) // 512) AS a, max((least(pos + 66, n) - 1) // 512) AS b FROM r, n GROUP BY query_idx),
+t0 AS (SELECT query_idx, unnest(range(a, b + 1)) AS page_id, generate_subscripts(range(a, b + 1), 1) - 1 AS seq FROM w), t AS (SELECT *, row_number() OVER (ORDER BY query_idx, seq) AS i FROM t0)"""
+    return " UNION ALL ".join(f"SELECT * FROM ({trace}{fold(p, 8)} SELECT '{p}' AS policy, (SELECT count(DISTINCT query_idx) FROM t) AS queries, count(*) AS total_dac, count(*) FILTER (WHERE hit) AS total_hits FROM hits)" for p in ("FIFO", "LRU", "LFU"))
+
+
+@query(_range_bench_sql(), "events_keys event_ranges")
 def range_bench(spark, d):
     k, r = I.events_keys(spark, d), I.event_ranges(spark, d)
     w = access.range_windows(r, Exact(k, 64)).withColumn("dac", F.col("page_hi") - F.col("page_lo") + 1)
-    return cache.replay_summary(cache.replay(access.page_trace(w), [{"policy": x, "capacity": 8} for x in POLICIES]))
+    r = cache.replay_summary(cache.replay(access.page_trace(w), [{"policy": x, "capacity": 8} for x in POLICIES]))
+    return r.select("policy", "queries", "total_dac", "total_hits")
 
 
 @query()
