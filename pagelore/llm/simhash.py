@@ -85,6 +85,12 @@ def _variants(segments):
     return run
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows of 64-bit words differ."""
+    x = np.bitwise_count(a ^ b)
+    return x[..., 0] if x.shape[-1] == 1 else x.sum(axis=-1)
+
+
 def _local_links(fp: np.ndarray, radius: int):
     """Links of positions that join what lies within the radius, each to the first of its component."""
     n, todo = len(fp), np.ones(len(fp), bool)
@@ -96,7 +102,7 @@ def _local_links(fp: np.ndarray, radius: int):
         while front:  # breadth first: each member is compared with all once
             at = front.pop()
             rest = np.flatnonzero(todo)
-            near = rest[np.bitwise_count(fp[rest] ^ fp[at]) <= radius]
+            near = rest[apart(fp[rest], fp[at]) <= radius]
             todo[near] = False
             front += near.tolist()
             for j in near.tolist():
@@ -117,43 +123,43 @@ def _close_buckets(keys: np.ndarray, fp: np.ndarray, start: np.ndarray, sizes: n
         same = bucket[d:] == bucket[:-d]
         if not same.any():
             break
-        near = same & (np.bitwise_count(x[d:] ^ x[:-d]) <= radius)
+        near = same & (apart(x[d:], x[:-d]) <= radius)
         close[bucket[d:][near]] = True
     return np.flatnonzero(close | (sizes > FEW))
 
 
 def _bucket_links(radius: int, cap: int):
-    """Rows (key, fp, id) sorted by key, or (key, fp) whose id is fp -> links (key, a, b, null) of ids; of
-    buckets above the cap their members, as (key, id, null, fp)."""
+    """Rows (key, fp) sorted by key, whose id is fp, or (key, fp, fq, id) -> links (key, a, b) of ids; of buckets
+    above the cap their members, as (key, id, null, fp, fq). fq: 64 more bits that count."""
 
     def run(batches):
         none = np.zeros(0, np.int64)
-        keys, fps, ids, over, over_key = none, none, none, False, None
+        keys, fps, ids, over, over_key = none, None, none, False, None
 
         def batch(key, a, b=None, fp=None):
-            of = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(x)
-            return pa.record_batch([pa.array(np.full(len(a), key, np.int64)), pa.array(a), of(b), of(fp)], names=["key", "a", "b", "fp"])
+            of = lambda x: pa.nulls(len(a), pa.int64()) if x is None else pa.array(np.ascontiguousarray(x).view(np.int64))
+            return pa.record_batch([pa.array(np.full(len(a), key, np.int64)), pa.array(a), of(b), of(None if fp is None else fp[:, 0]), of(None if fp is None else fp[:, -1])], names=["key", "a", "b", "fp", "fq"])
 
         def done(keys, fps, ids):
             if not len(keys):
                 return
             start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[start, len(keys)])
-            unsigned = fps.view(np.uint64)
             links = []
-            for k in _close_buckets(keys, unsigned, start, sizes, radius).tolist():
+            for k in _close_buckets(keys, fps, start, sizes, radius).tolist():
                 s, n = start[k], sizes[k]
                 if n > cap:
                     yield batch(keys[s], ids[s : s + n], fp=fps[s : s + n])
                 else:
-                    links += [(s + i, s + j) for i, j in _local_links(unsigned[s : s + n], radius)]
+                    links += [(s + i, s + j) for i, j in _local_links(fps[s : s + n], radius)]
             if links:
                 m = ids[np.array(links)]
                 yield batch(0, m[:, 0].copy(), m[:, 1].copy())
 
         for r in batches:
-            k, f = r.column(0).to_numpy(), r.column(1).to_numpy()
-            i = r.column(2).to_numpy() if r.num_columns > 2 else f
+            k = r.column(0).to_numpy()
+            f = np.stack([r.column(c).to_numpy().view(np.uint64) for c in ((1, 2) if r.num_columns > 2 else (1,))], axis=1)
+            i = r.column(3).to_numpy() if r.num_columns > 2 else r.column(1).to_numpy()
             if over:  # the bucket that is too large goes on
                 n = int(np.argmax(k != over_key)) if (k != over_key).any() else len(k)
                 if n:
@@ -164,19 +170,19 @@ def _bucket_links(radius: int, cap: int):
                 over = False
             if not len(k):
                 continue
-            keys, fps, ids = np.concatenate([keys, k]), np.concatenate([fps, f]), np.concatenate([ids, i])
+            keys, fps, ids = np.concatenate([keys, k]), f if fps is None else np.concatenate([fps, f]), np.concatenate([ids, i])
             cut = int(np.searchsorted(keys, keys[-1]))
             yield from done(keys[:cut], fps[:cut], ids[:cut])
             keys, fps, ids = keys[cut:], fps[cut:], ids[cut:]
             if len(keys) > cap:
                 yield batch(keys[-1], ids, fp=fps)
-                over, over_key, keys, fps, ids = True, keys[-1], none, none, none
+                over, over_key, keys, fps, ids = True, keys[-1], none, None, none
         yield from done(keys, fps, ids)
 
     return run
 
 
-LINKS = "key bigint, a bigint, b bigint, fp bigint"
+LINKS = "key bigint, a bigint, b bigint, fp bigint, fq bigint"
 
 
 def _two_bit_links(crowded: DataFrame, radius: int) -> DataFrame:
@@ -191,10 +197,10 @@ def _two_bit_links(crowded: DataFrame, radius: int) -> DataFrame:
 def _block_links(crowded: DataFrame, radius: int, cap: int) -> DataFrame:
     """Members of large buckets in blocks of about half the cap: each pair of blocks of a bucket is one group."""
     n = crowded.groupBy("key").agg(F.ceil(2 * F.count("*") / cap).cast("bigint").alias("blocks"))
-    x = crowded.select("key", "fp", F.col("a").alias("id")).join(n, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    x = x.select("key", "fp", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    x = crowded.select("key", "fp", "fq", F.col("a").alias("id")).join(n, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    x = x.select("key", "fp", "fq", "id", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     # Two groups whose hashes meet are verified together: more comparisons, the same links.
-    x = x.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "id")
+    x = x.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "fq", "id")
     return x.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(trimmed(_bucket_links(radius, 1 << 40)), LINKS).select("a", "b")
 
 
@@ -210,7 +216,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2, bucket_cap: int = 40
     links, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
     if crowded.isEmpty():
         return links.distinct().coalesce(1 + found.count() // FILE_ROWS)
-    return links.union(_two_bit_links(crowded, radius) if radius <= 2 else _block_links(crowded, radius, bucket_cap)).distinct()
+    return links.union(_two_bit_links(crowded, radius) if radius <= 2 else _block_links(crowded.withColumn("fq", F.lit(0).cast("bigint")), radius, bucket_cap)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, bucket_cap: int = 4096) -> DataFrame:

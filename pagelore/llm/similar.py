@@ -3,7 +3,7 @@
 The similarity of two texts is the Jaccard similarity of their sets of word shingles. A text has PRINTS
 SimHash fingerprints of 64 bits, of one hash of each shingle mixed in as many ways. Each is cut into segments
 of which one must differ by at most one bit, each segment is indexed once for each of its bits with that bit
-deleted, and texts that share a variant and lie within CHECK_BITS bits in another of the fingerprints are
+deleted, and texts that share a variant and lie within CHECK_BITS bits in two other fingerprints are
 candidates. Several fingerprints find what one misses; the exact check takes what doesn't belong.
 
 Texts of one shingle set are one node. In a bucket candidates are linked to one pivot, not to each other: a
@@ -22,13 +22,14 @@ from pyspark.sql import functions as F
 
 from pagelore.llm.common import HOT_SHARE, SMALL_ROWS, may_hold, membership, positional, split_join, trimmed
 from pagelore.llm.components import components
-from pagelore.llm.simhash import BITS, LINKS, TASK_ROWS, _block_links, _bucket_links, segments_for
+from pagelore.llm.simhash import BITS, LINKS, TASK_ROWS, _block_links, _bucket_links, apart, segments_for
 from pagelore.runtime import stored
 
 WORDS, SIMILARITY = 5, 0.8
-#: Fingerprints of a text, the radius that sets their segments (5: three of them), the bits of the check.
-PRINTS, RADIUS, CHECK_BITS = 4, 5, 16
-BLOCK, STREAM = 64, 4096
+#: Fingerprints of a text, the radius that sets their segments (5: three of them), the bits of 128 that may differ: of
+#: pairs of similarity 0.8, whose bits differ with a chance of 0.15, 98.7 % are within them.
+PRINTS, RADIUS, CHECK_BITS = 4, 5, 28
+BLOCK, STREAM = 256, 4096
 #: Fixed odd mixing constants.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -93,18 +94,18 @@ def _sets(words: int):
 
 
 def _variants(n: int, segments):
-    """nodes (node, f0 ...) -> (key, fp, node): fp is the fingerprint after the one that is indexed."""
+    """nodes (node, f0 ...) -> (key, fp, fq, node): fp, fq are the two fingerprints after the one that is indexed."""
 
     def run(batches):
         for b in batches:
             node, fps = b.column(0), [b.column(1 + k) for k in range(n)]
             for k in range(n):
-                x, check = fps[k].to_numpy().view(np.uint64), fps[(k + 1) % n]
+                x, check = fps[k].to_numpy().view(np.uint64), (fps[(k + 1) % n], fps[(k + 2) % n])
                 for s, (shift, width) in enumerate(segments):
                     seg = (x >> np.uint64(shift)) & np.uint64((1 << width) - 1)
                     for i in range(width):
                         key = (seg & np.uint64(~(1 << i) & (2**64 - 1))) | np.uint64(((k * len(segments) + s) * BITS + i) << 48)
-                        yield pa.record_batch([pa.array(key.view(np.int64)), check, node], names=["key", "fp", "node"])
+                        yield pa.record_batch([pa.array(key.view(np.int64)), *check, node], names=["key", "fp", "fq", "node"])
 
     return run
 
@@ -112,10 +113,10 @@ def _variants(n: int, segments):
 def candidate_links(nodes: DataFrame, n: int = PRINTS, radius: int = RADIUS, bits: int = CHECK_BITS, bucket_cap: int = 4096) -> DataFrame:
     """nodes (node, f0 ...) -> distinct links (a, b), stored: in each bucket every candidate with its pivot."""
     segments = segments_for(radius)
-    if max(w for _, w in segments) > 48 or n < 2:
-        raise ValueError("two fingerprints or more of segments of 48 bits or less are needed")
+    if max(w for _, w in segments) > 48 or n < 3:
+        raise ValueError("three fingerprints or more of segments of 48 bits or less are needed")
     some = nodes.select("node", *[f"f{k}" for k in range(n)]).repartition(1 + nodes.count() * n * BITS // TASK_ROWS)
-    rows = some.mapInArrow(_variants(n, segments), "key bigint, fp bigint, node bigint")
+    rows = some.mapInArrow(_variants(n, segments), "key bigint, fp bigint, fq bigint, node bigint")
     found = stored(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_bucket_links(bits, bucket_cap)), LINKS), "found")
     links, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
     if crowded.isEmpty():
@@ -132,23 +133,25 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def _verify(least: float, bits: int | None):
-    """Rows (grp, kind, node, label, fp, shingles) sorted by grp and kind: of each group first its probes
+    """Rows (grp, kind, node, label, fp, fq, shingles) sorted by grp and kind: of each group first its probes
     (kind 0), then what they are compared with -> links (a, b) of similar nodes with different labels."""
 
     def run(batches):
         at, probes = None, []
         for b in batches:
             out = []
-            fp = b.column(4).to_numpy().view(np.uint64)
-            own = np.array([p[2] for p in probes], np.uint64)
-            for i, (g, kind, node, label, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 3, 5)), strict=True)):
+            fp = np.stack([b.column(c).to_numpy().view(np.uint64) for c in (4, 5)], axis=1)
+            own = None
+            for i, (g, kind, node, label, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 3, 6)), strict=True)):
                 if g != at:
-                    at, probes, own = g, [], np.zeros(0, np.uint64)
+                    at, probes, own = g, [], None
                 if kind == 0:
-                    probes.append((node, label, int(fp[i]), np.frombuffer(raw, "<u8")))
-                    own = np.append(own, fp[i])
+                    probes.append((node, label, fp[i], np.frombuffer(raw, "<u8")))
+                    own = None
                     continue
-                near = range(len(probes)) if bits is None else np.flatnonzero(np.bitwise_count(own ^ fp[i]) <= bits).tolist()
+                if own is None:
+                    own = np.array([p[2] for p in probes], np.uint64).reshape(-1, 2)
+                near = range(len(probes)) if bits is None else np.flatnonzero(apart(own, fp[i]) <= bits).tolist()
                 h = None
                 for k in near:
                     p = probes[k]
@@ -162,8 +165,8 @@ def _verify(least: float, bits: int | None):
 
 
 def _verified(rows: DataFrame, sets: DataFrame, least: float, bits: int | None) -> DataFrame:
-    """rows (grp, kind, node, label), sets (node, fp, shingles) -> links (a, b)."""
-    whole = rows.join(sets, "node").select("grp", "kind", "node", "label", "fp", "shingles")
+    """rows (grp, kind, node, label), sets (node, fp, fq, shingles) -> links (a, b)."""
+    whole = rows.join(sets, "node").select("grp", "kind", "node", "label", "fp", "fq", "shingles")
     return whole.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(trimmed(_verify(least, bits)), "a bigint, b bigint").distinct()
 
 
@@ -213,10 +216,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = candidate_links(nodes, prints, radius, bits, bucket_cap)
     n = links.count()
 
-    named = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.select("node", "row", "t1", "t2", F.col("f0").alias("fp")), "node")
+    named = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes.select("node", "row", "t1", "t2", F.col("f0").alias("fp"), F.col("f1").alias("fq")), "node")
     named = stored(named, "named", 2 * n)
     read = may_hold(rows, membership(named.select(F.col("row").alias("_h"))), F.col("row")).where("_may").select("text").mapInArrow(trimmed(_sets(words)), "t1 bigint, t2 bigint, shingles binary")
-    sets = stored(read.join(named.select("node", "fp", "t1", "t2"), ["t1", "t2"]).groupBy("node").agg(F.min("fp").alias("fp"), F.first("shingles").alias("shingles")), "sets")
+    sets = stored(read.join(named.select("node", "fp", "fq", "t1", "t2"), ["t1", "t2"]).groupBy("node").agg(F.min("fp").alias("fp"), F.min("fq").alias("fq"), F.first("shingles").alias("shingles")), "sets")
 
     roots = stored(_checked(links, sets, least, bits), "roots", 4 * n)
     node = nodes.select("node", "t1", "t2", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -68,9 +68,9 @@ def test_stars_of_a_wrong_pivot_are_compared_inside(spark):
     rng = np.random.default_rng(5)
     a, b = (np.unique(rng.integers(0, 2**63, 100).astype(np.uint64)) for _ in range(2))
     sets = [(0, a), (1, b), (2, np.sort(np.r_[b[:-3], a[:2]])), (3, np.sort(a[:-1])), (4, b[1:])]
-    table = spark.createDataFrame([(n, 7, bytearray(s.astype("<u8").tobytes())) for n, s in sets], "node bigint, fp bigint, shingles binary")
+    table = spark.createDataFrame([(n, 7, 7, bytearray(s.astype("<u8").tobytes())) for n, s in sets], "node bigint, fp bigint, fq bigint, shingles binary")
     links = spark.createDataFrame([(0, n) for n in range(1, 5)], "a bigint, b bigint")
-    got = {r.node: r.root for r in similar._checked(links, table, 0.8, 16).collect()}
+    got = {r.node: r.root for r in similar._checked(links, table, 0.8, 28).collect()}
     assert got == {0: 0, 3: 0, 1: 1, 2: 1, 4: 1}
 
 
