@@ -284,9 +284,10 @@ def train_bounded(ranked_keys: DataFrame, line: int, top: str = "linear", bf: in
 
 
 def error_stats(model: Rmi, ranked_keys: DataFrame) -> DataFrame:
-    """avg_error, avg_l2, avg_log2 and max over keys of their leaf's error."""
+    """avg_error, avg_l2, avg_log2 and max over keys of their leaf's error. Squares are summed as doubles: those of a
+    poor model of some 3 million keys pass 2^63."""
     k = model.predict(ranked_keys.select("key", "pos"))
-    return k.agg(F.avg("err").alias("avg_error"), (F.sum(F.col("err") * F.col("err")) / F.count("*")).alias("avg_l2"), F.avg(F.log2(2.0 * F.col("err") + 2)).alias("avg_log2"), F.max("err").alias("max_error"))
+    return k.agg(F.avg("err").alias("avg_error"), F.avg(F.pow(F.col("err").cast("double"), F.lit(2.0))).alias("avg_l2"), F.avg(F.log2(2.0 * F.col("err") + 2)).alias("avg_log2"), F.max("err").alias("max_error"))
 
 
 def collect_records(model: Rmi, probes: DataFrame, ranked_keys: DataFrame, max_err: float = 0.25, max_share: float = 0.99) -> DataFrame:
