@@ -123,12 +123,13 @@ def record_limit(spark, d):
 
 def sampled_estimates(probes, ranked_keys, rates, eps, memory, policies=("LFU",), strategy="all_in_once"):
     """(rate, policy, memory, eps, cache_pages, hit_ratio, dac, cost, estimated_total_ios): costs estimated from prefixes
-    of the trace, scaled to the whole of it."""
+    of the trace, scaled to the whole of it. Every combination has its row, also where the index leaves no page for the
+    cache: nothing hits there."""
     n, q, out = ranked_keys.count(), probes.count(), []
     ranks = keys.predecessor(probes, ranked_keys).select("query_idx", "pos")
     for rate in rates:
         take = max(1, int(q * rate / 100))
-        c = costs.point_costs(ranks.where(F.col("query_idx") < take).select("pos"), n, eps, memory, policies, strategy, scale=q / take)
+        c = costs.point_costs(ranks.where(F.col("query_idx") < take).select("pos"), n, eps, memory, policies, strategy, scale=q / take, without_room=True)
         out.append(c.withColumns({"rate": F.lit(float(rate)), "estimated_total_ios": F.col("cost") * q}))
     return report.union_all(out)
 
